@@ -19,13 +19,25 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sieveline.llm.packing import pack_documents
+
+    return pack_documents(spark, table(spark, sf_dir, "documents"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sieveline.llm.mixing import mix_documents
+
+    return mix_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sieveline.llm.topk import exact_topk
 
     return exact_topk(spark, table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_secret_scan, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_secret_scan, op5_best_fit_packing, op6_source_mixing, op10_exact_topk)}
 
 SQL = {
     "op10_exact_topk": """
