@@ -31,13 +31,19 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sieveline.llm.pages import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sieveline.llm.topk import exact_topk
 
     return exact_topk(spark, table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_secret_scan, op5_best_fit_packing, op6_source_mixing, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_secret_scan, op5_best_fit_packing, op6_source_mixing, op7_html_main_text, op10_exact_topk)}
 
 SQL = {
     "op10_exact_topk": """
