@@ -19,6 +19,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sieveline.llm.toxicity import score_documents
+
+    return score_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sieveline.llm.packing import pack_documents
 
@@ -43,7 +49,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(spark, table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_secret_scan, op5_best_fit_packing, op6_source_mixing, op7_html_main_text, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_secret_scan, op4_toxicity, op5_best_fit_packing, op6_source_mixing, op7_html_main_text, op10_exact_topk)}
 
 SQL = {
     "op10_exact_topk": """
