@@ -43,15 +43,36 @@ def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sieveline.llm.substrings import deduplicate
+
+    return deduplicate(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sieveline.llm.topk import exact_topk
 
     return exact_topk(spark, table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_secret_scan, op4_toxicity, op5_best_fit_packing, op6_source_mixing, op7_html_main_text, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_secret_scan, op4_toxicity, op5_best_fit_packing, op6_source_mixing, op7_html_main_text, op9_substring_dedup, op10_exact_topk)}
 
 SQL = {
+    "op9_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), w AS (
+  SELECT doc_id, i, array_to_string(ws[i : i + 49], ' ') AS win FROM d, unnest(range(1, len(ws) - 48)) AS t(i)
+), f AS (SELECT win, min(doc_id) AS first FROM w GROUP BY win HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT w.doc_id, list(w.i) AS starts FROM w JOIN f USING (win) WHERE w.doc_id > f.first GROUP BY w.doc_id),
+c AS (SELECT g.doc_id, list_distinct(flatten(list_transform(g.starts, lambda i: range(i, i + 50)))) AS gone FROM g),
+k AS (
+  SELECT d.doc_id, len(ws) AS n, coalesce(len(gone), 0) AS r,
+         list_filter(ws, lambda w, i: NOT list_contains(coalesce(gone, []), i)) AS kept
+  FROM d LEFT JOIN c USING (doc_id)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+""",
     "op10_exact_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
