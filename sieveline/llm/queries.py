@@ -13,6 +13,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sieveline.llm.quality import judge
+
+    return judge(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sieveline.llm.secrets import scan_documents
 
@@ -55,7 +61,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(spark, table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_secret_scan, op4_toxicity, op5_best_fit_packing, op6_source_mixing, op7_html_main_text, op9_substring_dedup, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_outliers, op3_secret_scan, op4_toxicity, op5_best_fit_packing, op6_source_mixing, op7_html_main_text, op9_substring_dedup, op10_exact_topk)}
 
 SQL = {
     "op9_substring_dedup": r"""
