@@ -1,9 +1,50 @@
-"""The corpus pipeline; counted as part of the llm subpackage."""
+"""The corpus pipeline: documents through five operators of sieveline.llm, each stage written and read again."""
+
+from __future__ import annotations
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from sieveline.llm.common import table, written
+from sieveline.llm.mixing import mixed_documents
+from sieveline.llm.packing import pack_documents
+from sieveline.llm.secrets import redact_documents
+from sieveline.llm.simhash import deduplicated
+from sieveline.llm.toxicity import without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model predicts toxic go; labels come from the input folder."""
+    return without_toxic(spark, docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least doc_id stays."""
+    return deduplicated(spark, docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by placeholders; every document stays."""
+    return redact_documents(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, to the nearest whole number."""
+    return mixed_documents(spark, docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the mixed documents with their places in sequences."""
+    return pack_documents(spark, docs)
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("mixing", mixing), ("packing", packing)]
+#: SQL can express neither the learnt model nor the fingerprints; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(spark, stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
