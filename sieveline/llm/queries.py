@@ -49,6 +49,12 @@ def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sieveline.llm.scoring import score_documents
+
+    return score_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sieveline.llm.substrings import deduplicate
 
@@ -61,7 +67,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(spark, table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_outliers, op3_secret_scan, op4_toxicity, op5_best_fit_packing, op6_source_mixing, op7_html_main_text, op9_substring_dedup, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_outliers, op3_secret_scan, op4_toxicity, op5_best_fit_packing, op6_source_mixing, op7_html_main_text, op8_attention_scores, op9_substring_dedup, op10_exact_topk)}
 
 SQL = {
     "op9_substring_dedup": r"""

@@ -33,7 +33,10 @@ class Ids(dict):
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         core = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.quick = getattr(core, "encode_to_tiktoken_buffer", None) or (lambda t, _: np.array(core.encode_ordinary(t), "<u4").tobytes())
+        if buffer := getattr(core, "encode_to_tiktoken_buffer", None):
+            self.quick = lambda t, special: bytes(buffer(t, special))
+        else:
+            self.quick = lambda t, _: np.array(core.encode_ordinary(t), "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.most:
