@@ -12,44 +12,50 @@ from sieveline.functions.text import interleaved, is_blank, json_ok, lines
 SUMMARY = "struct<counts:map<string,bigint>,pairs:bigint,orphan_begin:bigint,orphan_end:bigint,aborted_lines:array<int>>"
 
 
-def rewrite(text: Column, rule: Rule) -> Column:
-    """struct(text, n) of one rule over a text; published examples stay and are not counted."""
-    if rule.decide:
-        found = interleaved(text, rule.java, rule.decide)
-    elif rule.may_be_benign:
-        found = interleaved(text, rule.java, lambda m: F.regexp_replace(m, rule.java, rule.template))
-    else:
-        n = F.regexp_count(text, F.lit(rule.java)).cast("bigint")
-        found = F.struct(F.regexp_replace(text, rule.java, rule.template).alias("text"), n.alias("n"))
-    if rule.hints:
-        some = text.contains(rule.hints[0])
-        for h in rule.hints[1:]:
-            some = some | text.contains(h)
-        found = F.when(some, found).otherwise(F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("n")))
-    return found
+def rewrite(df: DataFrame, rule: Rule, text: str, n: str) -> DataFrame:
+    """df with one rule applied to column `text` and column `n`, how many matches it replaced; published examples stay and are not counted.
+
+    A text that holds none of the rule's literals is not searched, and one without a match is not rewritten.
+    """
+    t, zero = F.col(text), F.lit(0).cast("bigint")
+    some = None
+    for h in rule.hints:
+        some = t.contains(h) if some is None else some | t.contains(h)
+    guarded = lambda x, otherwise: x if some is None else F.when(some, x).otherwise(otherwise)
+    if rule.decide or rule.may_be_benign:
+        decide = rule.decide or (lambda m: F.regexp_replace(m, rule.java, rule.template))
+        df = df.withColumn("__r", guarded(interleaved(t, rule.java, decide), F.struct(t.alias("text"), zero.alias("n"))))
+        return df.withColumns({text: F.col("__r.text"), n: F.col("__r.n")}).drop("__r")
+    df = df.withColumn(n, guarded(F.regexp_count(t, F.lit(rule.java)).cast("bigint"), zero))
+    return df.withColumn(text, F.when(F.col(n) > 0, F.regexp_replace(t, rule.java, rule.template)).otherwise(t))
 
 
 def redact_text(df: DataFrame, rules: list[Rule], keys: bool = True, text: str = "text", out: str = "redacted", summary: str = "summary") -> DataFrame:
     """Adds `out`, the text after all rules, and `summary`, what was done to it. A map-only step: no shuffle.
 
-    Each rule sees what the earlier ones left; its count is taken there.
+    Each rule sees what the earlier ones left; its count is taken there. Filter before this, not after it: the optimizer is kept from moving a
+    filter below the rules, where it would repeat all of them once more for each step back.
     """
     cols = df.columns
     df = df.withColumn("__t", F.col(text))
     for i, rule in enumerate(rules):
-        df = df.withColumn("__r", rewrite(F.col("__t"), rule)).withColumn("__t", F.col("__r.text")).withColumn(f"__n{i}", F.col("__r.n"))
+        df = rewrite(df, rule, "__t", f"__n{i}")
+    zero = F.lit(0).cast("bigint")
     by_id: dict[str, Column] = {}
     for i, rule in enumerate(rules):
-        n = F.coalesce(F.col(f"__n{i}"), F.lit(0).cast("bigint"))
+        n = F.coalesce(F.col(f"__n{i}"), zero)
         by_id[rule.id] = by_id[rule.id] + n if rule.id in by_id else n
     entries = F.array(*(F.struct(F.lit(k).alias("key"), n.alias("value")) for k, n in by_id.items())) if by_id else F.array().cast("array<struct<key:string,value:bigint>>")
     df = df.withColumn("__c", F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0)))
-    if keys:
-        df = df.withColumn("__k", key_blocks(F.col("__t")))
-    else:
-        df = df.withColumn("__k", F.struct(F.col("__t").alias("text"), *(F.lit(0).cast("bigint").alias(x) for x in ("pairs", "orphan_begin", "orphan_end")), F.array().cast("array<int>").alias("aborted_lines")))
+    plain = F.struct(F.col("__t").alias("text"), *(zero.alias(x) for x in ("pairs", "orphan_begin", "orphan_end")), F.array().cast("array<int>").alias("aborted_lines"))
+    df = df.withColumn("__k", key_blocks(F.col("__t")) if keys else plain)
     made = F.struct(F.col("__c").alias("counts"), *(F.col(f"__k.{x}").alias(x) for x in ("pairs", "orphan_begin", "orphan_end", "aborted_lines")))
-    return df.select(*cols, F.col("__k.text").alias(out), made.alias(summary))
+    return df.select(*cols, _held(F.col("__k.text")).alias(out), _held(made).alias(summary))
+
+
+def _held(c: Column) -> Column:
+    """The same value by an expression that counts as not deterministic, below which no filter is moved."""
+    return F.when(F.rand(0) < 2, c)
 
 
 def total_redactions(summary: str = "summary") -> Column:
@@ -103,4 +109,4 @@ def redact_jsonl(df: DataFrame, rules: list[Rule], keys: bool = True, text: str
 
 def counts_as_rows(df: DataFrame, *by: str, summary: str = "summary") -> DataFrame:
     """(by, rule, n) rows of all counts, summed."""
-    return df.select(*by, F.explode(f"{summary}.counts").alias("rule", "k")).groupBy(*by, "rule").agg(F.sum("k").alias("n"))
+    return df.select(*by, F.explode_outer(f"{summary}.counts").alias("rule", "k")).where("rule is not null").groupBy(*by, "rule").agg(F.sum("k").alias("n"))
