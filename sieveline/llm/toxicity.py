@@ -234,11 +234,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of documents (and the columns named in keep)."""
+    """doc_id, held_out, score, predicted for every row of documents, and the columns named in keep as kept_0, kept_1..."""
     sent = spark.sparkContext.broadcast(train(spark, docs, labels))
-    extra = [c for c in keep if c != "doc_id"]
-    wide = docs.select(F.col("doc_id").alias("__id"), (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("text").cast("string").alias("__text"), *extra)
-    schema = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", "held_out boolean", "score double", "predicted int", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)])
+    extra = [f"kept_{i}" for i in range(len(keep))]
+    wide = docs.select(F.col("doc_id").cast("bigint").alias("__id"), (remainder(F.col("doc_id"), 5) == 0).alias("__held"), F.col("text").cast("string").alias("__text"), *(F.col(c).alias(e) for c, e in zip(keep, extra, strict=True)))
+    schema = ", ".join(["doc_id bigint", "held_out boolean", "score double", "predicted int", *(f"{e} {docs.schema[c].dataType.simpleString()}" for c, e in zip(keep, extra, strict=True))])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -253,4 +253,5 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, kee
 
 def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with their columns."""
-    return score_documents(spark, docs, labels, tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+    scored = score_documents(spark, docs, labels, tuple(docs.columns)).where("predicted = 0")
+    return scored.select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(docs.columns)))
