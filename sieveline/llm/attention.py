@@ -20,23 +20,37 @@ def new_parameters(inputs: int, class_share: np.ndarray, seed: int = 5) -> dict[
     return {"E": f(inputs, DIM), "Q": f(DIM, DIM), "K": f(DIM, DIM), "V": f(DIM, DIM), "R": np.zeros(T, np.float32), "M": np.zeros((DIM, len(class_share)), np.float32), "W": np.zeros((DIM, len(class_share)), np.float32), "b": np.log(class_share).astype(np.float32)}
 
 
-def forward(p: dict, x: np.ndarray, tables: dict | None = None) -> tuple:
-    """x (B, T) input numbers -> logits (B, T, classes) and what the backward pass needs."""
-    t = tables or make_tables(p)
-    q, k, v = t["q"][x], t["k"][x], t["v"][x]
+def forward(p: dict, x: np.ndarray) -> tuple:
+    """x (B, T) input numbers -> what the head brings to each place, and what the backward pass needs."""
+    q, k, v = (p["E"] @ p["Q"] * np.float32(DIM**-0.5))[x], (p["E"] @ p["K"])[x], (p["E"] @ p["V"])[x]
     s = np.matmul(q, k.transpose(0, 2, 1))
-    s += t["bias"]
+    s += p["R"][LAG] * TRIL
     np.minimum(s, 40, out=s)
     np.exp(s, out=s)
     s *= TRIL
     s /= s.sum(2, keepdims=True)
-    o = np.matmul(s, v)
-    return o, s, q, k, v
+    return np.matmul(s, v), s, q, k, v
 
 
 def make_tables(p: dict) -> dict:
-    """Per input: its query, key, value and direct logits."""
-    return {"q": p["E"] @ p["Q"] * np.float32(DIM**-0.5), "k": p["E"] @ p["K"], "v": p["E"] @ p["V"], "direct": p["E"] @ p["W"] + p["b"], "bias": p["R"][LAG] * TRIL}
+    """For scoring, per input: query, key and value with a one behind it, side by side; direct logits; bias with the mask in it."""
+    q, k, v = p["E"] @ p["Q"] * np.float32(DIM**-0.5), p["E"] @ p["K"], p["E"] @ p["V"]
+    one = np.ones((len(q), 1), np.float32)
+    most = np.linalg.norm(q, axis=1).max() * np.linalg.norm(k, axis=1).max() + np.abs(p["R"]).max()
+    bias = np.where(TRIL > 0, p["R"][LAG], np.float32(-1e9)).astype(np.float32)
+    return {"qkv": np.concatenate([q, k, v, one], 1).astype(np.float32), "direct": (p["E"] @ p["W"] + p["b"]).astype(np.float32), "bias": bias, "steep": bool(most > 40), "ones": np.ones((len(p["b"]), 1), np.float32)}
+
+
+def attend(t: dict, x: np.ndarray) -> np.ndarray:
+    """What the head brings to each place of x (B, T): the values before it, weighted; weights are divided by their sum at the end."""
+    g = np.take(t["qkv"], x, axis=0, mode="clip")
+    s = np.matmul(g[..., :DIM], np.ascontiguousarray(g[..., DIM : 2 * DIM].transpose(0, 2, 1)))
+    s += t["bias"]
+    if t["steep"]:
+        np.minimum(s, 40, out=s)
+    np.exp(s, out=s)
+    o = np.matmul(s, g[..., 2 * DIM :])
+    return o[..., :DIM] / o[..., DIM:]
 
 
 def loss_and_gradients(p: dict, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict]:
@@ -126,21 +140,19 @@ def score(p: dict, streams: list[np.ndarray], inputs_of: np.ndarray, class_of: n
         base += len(ids)
     whole = np.concatenate([*streams, np.full(T + 1, streams[0][0])])
     starts, froms, sizes, owner = map(np.concatenate, (starts, froms, sizes, owner))
-    out = np.bincount(np.zeros(0, int), minlength=len(streams)).astype(float)
-    x_all, c_all, w_all = inputs_of[whole], class_of[whole], within[whole]
+    out = np.zeros(len(streams))
+    x_all, c_all, w_all = np.take(inputs_of, whole), np.take(class_of, whole), np.take(within, whole)
     places = np.arange(T)
     for i in range(0, len(starts), batch):
-        a = starts[i : i + batch]
-        at = a[:, None] + places
-        x = x_all[at]
-        o = forward(p, x, t)[0]
+        at = starts[i : i + batch, None] + places
+        x = np.take(x_all, at)
         use = (places >= froms[i : i + batch, None]) & (places < sizes[i : i + batch, None])
-        rows = np.flatnonzero(use.ravel())
-        z = o.reshape(-1, DIM)[rows] @ p["M"]
-        z += t["direct"][x.ravel()[rows]]
-        goal = at.ravel()[rows] + 1
-        got = z[np.arange(len(rows)), c_all[goal]]
+        rows = np.flatnonzero(use)
+        z = np.take(attend(t, x).reshape(-1, DIM), rows, axis=0) @ p["M"]
+        z += np.take(t["direct"], np.take(x, rows), axis=0, mode="clip")
+        goal = np.take(at, rows) + 1
+        got = z[np.arange(len(rows)), np.take(c_all, goal)]
         np.exp(z, out=z)
-        got = got - np.log(z.sum(1)) + w_all[goal]
+        got = got - np.log(z @ t["ones"])[:, 0] + np.take(w_all, goal)
         out += np.bincount(np.repeat(owner[i : i + batch], use.sum(1)), got, len(streams))
     return out

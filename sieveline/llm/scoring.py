@@ -172,7 +172,7 @@ def fit(spark: SparkSession, docs: DataFrame, counts: DataFrame, n_docs: int, wh
     within = np.log((subwords + 0.1) / share[cls]).astype(np.float32)
     # ids without an input of their own share that of their class
     inputs = np.where(place >= 0, place, OWN + cls).astype(np.int32)
-    p = attention.new_parameters(OWN + CLASSES + RARE, share / share.sum())
+    p = attention.new_parameters(OWN + CLASSES + RARE, np.maximum(share, 1e-9) / share.sum())
     for turn in range(ROUNDS):
         sent = sc.broadcast((p, inputs, cls))
 

@@ -39,6 +39,9 @@ def test_toxicity_reads_through_disguise(spark):
     assert [got[i]["predicted"] for i in (9000, 9001, 9002, 9003, 9004, None, 9005, 9006)] == [1, 1, 1, 0, 0, 0, 0, 0]
     kept = toxicity.without_toxic(spark, d, y)
     assert kept.columns == d.columns and kept.where("doc_id = 9000").count() == 0 and kept.where("doc_id is null").count() == 1
+    clashing = d.selectExpr("doc_id", "text", "1 as score", "'x' as predicted", "true as held_out")
+    kept = toxicity.without_toxic(spark, clashing, y)
+    assert kept.columns == clashing.columns and {(r["score"], r["predicted"]) for r in kept.collect()} == {(1, "x")}
     none = toxicity.score_documents(spark, d.limit(0), y.limit(0))
     assert none.count() == 0
     assert {r["predicted"] for r in toxicity.score_documents(spark, d.limit(3), y.limit(0)).collect()} == {0}
@@ -86,6 +89,20 @@ def test_windows_score_each_token_once():
         assert seen == list(range(n))
 
 
+def test_scores_are_those_of_the_training_pass():
+    r = np.random.default_rng(2)
+    p = {k: (v + r.standard_normal(v.shape) * 0.3).astype(np.float32) for k, v in attention.new_parameters(9, np.ones(6) / 6).items()}
+    inputs, classes, within = r.integers(0, 9, 30), r.integers(0, 6, 30), np.zeros(30, np.float32)
+    for steep in (1, 12):
+        q = p | {"Q": p["Q"] * np.float32(steep)}
+        for n in (1, 20, attention.T):
+            ids = r.integers(0, 30, n + 1)
+            x, y = np.full((1, attention.T), inputs[ids[0]]), np.zeros((1, attention.T), int)
+            x[0, :n], y[0, :n] = inputs[ids[:-1]], classes[ids[1:]]
+            loss, _ = attention.loss_and_gradients(q, x, y, (np.arange(attention.T) < n)[None].astype(np.float32))
+            assert np.isclose(attention.score(q, [ids], inputs, classes, within)[0], -loss * n, rtol=1e-3)
+
+
 def test_scores_are_those_of_the_definition(spark, odd_docs, no_docs):
     _, wide, rows = odd_docs
     got = scoring.score_documents(spark, wide, hot=5).collect()
