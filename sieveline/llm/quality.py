@@ -10,8 +10,8 @@ the last bit. The nearest rows are found from counts by classes of distance, so
 each step sums moments by (group, class), at most CLASSES rows a group.
 
 Null and empty texts have no words and fail the base rules. Null languages and sources are groups of their own. Groups of fewer
-than LEAST rows that pass the base rules get no estimate: their rows stay if the base rules pass.
-Repeated rows are each judged.
+than LEAST rows that pass the base rules are judged by the estimate of all rows of their language, and languages of fewer by that
+of all rows, however few these are: every row that passes the base rules gets a verdict. Repeated rows are each judged.
 """
 
 from __future__ import annotations
@@ -110,11 +110,11 @@ def _total(array: str, field: str) -> Column:
 
 
 def robust_estimates(spark: SparkSession, v: DataFrame) -> DataFrame:
-    """(g, x_...) rows -> g, means, factor, n: the estimate of each group of LEAST rows or more."""
-    quart = v.groupBy("g").agg(F.count("*").alias("n"), *(F.expr(f"percentile({x}, array(0.25, 0.5, 0.75))").alias(f"p{i}") for i, x in enumerate(X))).where(F.col("n") >= LEAST)
+    """(g, x_...) rows -> g, means, factor: the estimate of each group."""
+    quart = v.groupBy("g").agg(*(F.expr(f"percentile({x}, array(0.25, 0.5, 0.75))").alias(f"p{i}") for i, x in enumerate(X)))
     a = quart.select("g", F.lit(0).alias("start"), *(F.col(f"p{i}")[1].alias(m) for i, m in enumerate(MEANS)), *(F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, F.lit(2.0)).alias(f"w{i}") for i in range(P)))
     a = _factored(a, {(i, j): F.col(f"w{i}") if i == j else F.lit(0.0) for i, j in PAIRS}, ["g", "start", *MEANS])
-    b = _estimate(v.groupBy("g").agg(*_moments()).where(F.col("n") >= LEAST).withColumn("start", F.lit(1)))
+    b = _estimate(v.groupBy("g").agg(*_moments()).withColumn("start", F.lit(1)))
     params = written(spark, a.unionByName(b), "estimate")
     fields = ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS)]
     for _ in range(STEPS):
@@ -131,11 +131,26 @@ def robust_estimates(spark: SparkSession, v: DataFrame) -> DataFrame:
     return params.groupBy("g").agg(best.alias("b")).select("g", "b.*")
 
 
+def pools(v: DataFrame) -> DataFrame:
+    """(g, l, base_failed) rows -> g, own: the pool whose estimate judges the group, fed: the pools with an estimate that its rows belong to."""
+    groups = v.groupBy("g", "l").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("n"))
+    langs = groups.groupBy("l").agg(F.sum("n").alias("n_l"), (F.min("n") < LEAST).alias("short"))
+    langs = langs.crossJoin(F.broadcast(langs.agg(F.coalesce(F.max(F.col("n_l") < LEAST), F.lit(False)).alias("rest"))))
+    enough, enough_l = F.col("n") >= LEAST, F.col("n_l") >= LEAST
+    fed = F.array_compact(F.array(F.when(enough, F.col("g")), F.when(enough_l & F.col("short"), F.col("l")), F.when(F.col("rest"), F.lit("all"))))
+    own = F.when(enough, F.col("g")).when(enough_l, F.col("l")).otherwise(F.lit("all"))
+    return groups.join(langs, "l").select("g", own.alias("own"), fed.alias("fed"))
+
+
 def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance of every row."""
     b = base_statistics(docs)
     b = b.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    v = written(spark, vector(b).withColumn("g", F.to_json(F.struct("lang", "source"))).drop("lang", "source"), "vectors")
-    best = written(spark, robust_estimates(spark, v.where(~F.col("base_failed"))), "estimate")
+    v = vector(b).withColumn("g", F.to_json(F.struct("lang", "source"))).withColumn("l", F.concat(F.lit("lang "), F.to_json(F.struct("lang")))).drop("lang", "source")
+    v = written(spark, v, "vectors")
+    pool = written(spark, pools(v.select("g", "l", "base_failed")), "pools")
+    fed = written(spark, _with(v.where(~F.col("base_failed")).select("g", *X), pool.select("g", "fed")).select(F.explode("fed").alias("g"), *X), "fed")
+    best = written(spark, robust_estimates(spark, fed), "estimate")
+    v = _with(v, pool.select("g", "own")).drop("g", "l").withColumnRenamed("own", "g")
     d = _distance(_with(v, best, "left")).withColumn("distance", F.col("d2") / CONSISTENCY)
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))).alias("kept"), "distance")
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(False))).alias("kept"), "distance")

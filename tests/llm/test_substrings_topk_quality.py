@@ -106,6 +106,21 @@ def test_robust_estimates_reject_planted_outliers_only(spark):
     assert all(got[i] for i in range(400)) and not any(v for i, v in got.items() if i >= 1000)
 
 
+def test_small_groups_are_judged_by_the_next_wider_pool(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9)))
+    clean = lambda: " ".join(word() for _ in range(r.randrange(30, 300))).capitalize() + "."
+    junk = lambda: " ".join(word() + "%%%" for _ in range(80))
+    # en: one large source and twelve small ones; fr and null: fewer rows than LEAST in the whole language
+    groups = [("en", "large")] * 100 + [("en", f"s{i}") for i in range(12) for _ in range(8)] + [("fr", None)] * 10 + [(None, "x")] * 10
+    rows = [(i, clean(), *g) for i, g in enumerate(groups)] + [(1000 + i, junk(), *g) for i, g in enumerate(dict.fromkeys(groups))]
+    schema = "doc_id bigint, text string, lang string, source string"
+    for some in (rows, [x for x in rows if x[2] is None]):
+        got = quality.judge(spark, spark.createDataFrame(some, schema)).collect()
+        assert {g["doc_id"]: g["kept"] for g in got} == {x[0]: x[0] < 1000 for x in some}
+        assert all(g["distance"] is not None for g in got)
+
+
 def test_estimates_against_numpy(spark):
     r = np.random.default_rng(10)
     x = np.vstack([r.multivariate_normal([500] * 5, np.diag([200.0**2] * 5) + 15000, 300), r.normal(5000, 30, (60, 5))]).round().astype(int)
