@@ -3,8 +3,8 @@
 Texts are read as words with A-Z in lower case and an end. Word counts over all training documents give the base score; the
 words with the highest counts (at most HOT) go to every task, the occurrences of all others are joined by word.
 Subword counts come from the word counts, since a word's subwords do not depend on its neighbours. The attention model
-is trained by all partitions of a share of the training documents (1 in SHARE, so it grows with the
-input): each trains from the common state, and states are averaged by the predictions they saw, ROUNDS times. Windows overlap so that
+is trained by all partitions on all training documents, each in one of ROUNDS rounds by a hash: in a round each partition trains
+from the common state, and states are averaged by the predictions they saw. Windows overlap so that
 each subword is scored once with context before it.
 
 Null and empty texts are the end alone. A null doc_id counts as the text ''. Without training documents counts are zero, base scores follow the
@@ -26,7 +26,7 @@ from sieveline.llm.common import dropped, written
 from sieveline.llm.tokens import Ids, paths
 from sieveline.llm.toxicity import remainder
 
-HOT, KEYS, SHARE, ROUNDS = 300_000, 500_000, 32, 2
+HOT, KEYS, ROUNDS = 300_000, 500_000, 2
 #: Subwords with an input of their own, classes of those by neighbours, classes of the rest by count, buckets of neighbours.
 OWN, CLASSES, RARE, BUCKETS = 2048, 56, 8, 64
 END, SIZE = 50256, 50257
@@ -119,7 +119,7 @@ def classes_of(counts: np.ndarray, near: np.ndarray, own: np.ndarray) -> np.ndar
 
 
 def fit(spark: SparkSession, docs: DataFrame, counts: DataFrame, n_docs: int, where: tuple[str, str, str]) -> dict:
-    """The attention model from (word, n) counts and the training documents (text, doc_id)."""
+    """The attention model from (word, n) counts and the training documents (text, doc_id); seen is the number of predictions it learnt from."""
     sc = spark.sparkContext
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,6 +173,7 @@ def fit(spark: SparkSession, docs: DataFrame, counts: DataFrame, n_docs: int, wh
     # ids without an input of their own share that of their class
     inputs = np.where(place >= 0, place, OWN + cls).astype(np.int32)
     p = attention.new_parameters(OWN + CLASSES + RARE, np.maximum(share, 1e-9) / share.sum())
+    learnt = 0
     for turn in range(ROUNDS):
         sent = sc.broadcast((p, inputs, cls))
 
@@ -188,15 +189,18 @@ def fit(spark: SparkSession, docs: DataFrame, counts: DataFrame, n_docs: int, wh
                 yield pa.RecordBatch.from_arrays([pa.array([seen]), *(pa.array([v.astype("<f4").tobytes()]) for v in p.values())], ["seen", *p])
 
         schema = "seen bigint, " + ", ".join(f"{k} binary" for k in p)
-        some = docs.where(F.pmod(F.xxhash64(F.lit("lm"), F.lit(turn), "doc_id", "text"), F.lit(SHARE)) == 0).select("text")
+        some = docs.where(F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "text"), F.lit(ROUNDS)) == turn).select("text")
         total, weight = {k: np.zeros(v.size) for k, v in p.items()}, 0
-        for r in some.mapInArrow(learn, schema).toLocalIterator():  # one state at a time, each of a fixed size
+        states = written(spark, some.mapInArrow(learn, schema), "states")  # all partitions at once; the iterator alone would train one after another
+        for r in states.toLocalIterator():  # one state at a time, each of a fixed size
             weight += r["seen"]
             for k in total:
                 total[k] += r["seen"] * np.frombuffer(r[k], "<f4")
+        dropped(spark, states)
+        learnt += weight
         if weight:
             p = {k: (total[k] / weight).astype(np.float32).reshape(v.shape) for k, v in p.items()}
-    return {"p": p, "inputs": inputs, "classes": cls, "within": within}
+    return {"p": p, "inputs": inputs, "classes": cls, "within": within, "seen": learnt}
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, where: tuple[str, str, str] | None = None, hot: int = HOT) -> DataFrame:

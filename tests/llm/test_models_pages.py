@@ -119,6 +119,16 @@ def test_scores_are_those_of_the_definition(spark, odd_docs, no_docs):
     assert scoring.score_documents(spark, no_docs).count() == 0
 
 
+def test_every_training_document_reaches_the_model(spark, odd_docs):
+    from sieveline.llm.tokens import paths
+
+    _, wide, rows = odd_docs
+    docs = wide.select("doc_id", "text").repartition(3)
+    m = scoring.fit(spark, docs, scoring.word_counts(docs), len(rows), paths())
+    read = scoring.WordIds(paths())
+    assert m["seen"] == sum(len(scoring.stream(read, scoring.lower_words(t))) - 1 for _, t, *_ in rows)
+
+
 def test_attention_learns(spark):
     r = np.random.default_rng(1)
     streams = [np.array([0, *([1, 2, 3, 4] * 20), 0]) for _ in range(60)]
