@@ -2,8 +2,9 @@
 
 Obfuscated words (look-alike characters, letters spaced apart, letters repeated) are read as a noisy
 channel: each gives a lattice of what its characters may stand for, and Viterbi decoding under a character
-4-gram model, counted over all documents, restores the likeliest text. A word without any of these signs has one path only,
-itself, so it is not decoded. The score is a logistic model over words and word beginnings of restored texts.
+4-gram model, counted over all documents, restores the likeliest text. A word without any of these signs, a doubled letter included, has one path only,
+itself, so it is not decoded. Single characters are decoded together with the words at their sides; a word in pieces of two or
+more letters each, with no single letter among them, is not put together. The score is a logistic model over words and word beginnings of restored texts.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 5 is not 0, from about TRAIN_ROWS of them drawn by
 a hash of their id (a documented bound); all else covers all documents. Scores use the text alone.
@@ -33,7 +34,7 @@ SEPARATORS = " .-_*~'·•/\\,"
 #: Costs in nats of reading a look-alike as a letter, of dropping a repeated letter or a separator, of keeping a character as no letter.
 SWAP, DROP, KEEP = 0.5, 0.3, 4.0
 EDGES = re.compile(r"^[^\w@$!|]+|(?:[^\w@$]|[@$]{3,})+$|^[!|]+(?=\W|$)")
-SIGNS = re.compile(r"[a-z][\W\d_]+[a-z]|[0-9@$!|+(€£¡][\W\d_]*[a-z]|[a-z][\W\d_]*[0-9@$|+(€£¡]|([a-z])\1\1|([a-z])\2.*([a-z])\3.*([a-z])\4")
+SIGNS = re.compile(r"[a-z][\W\d_]+[a-z]|[0-9@$!|+(€£¡][\W\d_]*[a-z]|[a-z][\W\d_]*[0-9@$|+(€£¡]|([^\W\d_])\1")
 
 
 def code(c: str) -> int:
@@ -141,22 +142,25 @@ class Reader(dict):
         return got
 
     def features(self, text: str | None) -> set:
-        """Features of a whole text: of its words, and of runs of three or more single characters read as one segment."""
+        """Features of a whole text: of its words, and of runs of single characters, alone if three or more and with the words at their sides, read as one segment."""
         ws = (text or "").split()
         found: set = set()
         for f in map(self.__getitem__, set(ws)):
             if f:
                 found.update(f)
         shape = "".join(["s" if len(w) == 1 else "l" for w in ws])
-        at = shape.find("sss")
-        while at >= 0:
-            end = at
-            while end < len(shape) and shape[end] == "s":
-                end += 1
-            if len(set(ws[at:end])) > 1:
-                for w in viterbi(" ".join(ws[at:end]).lower(), self.cost).split():
-                    found.update(self[w])
-            at = shape.find("sss", end)
+        for m in re.finditer("s+", shape):
+            at, end = m.span()
+            before, after = max(0, at - 1), min(len(ws), end + 1)
+            parts = {(before, end), (at, after), (before, after)} if any(map(str.isalpha, ws[at:end])) else set()
+            for a, z in parts - {(at, end)} | ({(at, end)} if end - at > 2 else set()):
+                if len(set(ws[a:z])) > 1:
+                    part = " ".join(ws[a:z]).lower()
+                    if len(part) <= 40:
+                        found.update(self[part])
+                    else:
+                        for w in viterbi(part, self.cost).split():
+                            found.update(self[w])
         return found
 
     def restored(self, text: str | None) -> str:

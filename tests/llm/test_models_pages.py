@@ -47,6 +47,15 @@ def test_toxicity_reads_through_disguise(spark):
     assert {r["predicted"] for r in toxicity.score_documents(spark, d.limit(3), y.limit(0)).collect()} == {0}
 
 
+def test_single_doublings_and_pieces_are_read():
+    cost = toxicity.model(toxicity.count_grams(["the idiot and the moron told it all to him, stupid as he was"] * 50))
+    read = toxicity.Reader(cost)
+    for w, plain in (("stuupid", "stupid"), ("idiiot", "idiot"), ("moronn", "moron"), ("stuupiid", "stupid")):
+        assert read.restore(w) == plain
+    for text, plain in (("an i d iot told", "idiot"), ("the m oron told", "moron"), ("he stupi d was", "stupid"), ("id i ot", "idiot")):
+        assert plain + "$" in read.features(text)
+
+
 def test_viterbi_finds_the_best_path():
     import itertools
 
