@@ -43,18 +43,18 @@ WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "names", "cut", "points", "size", "linked")
+    __slots__ = ("tag", "parent", "kids", "names", "cut", "outside", "points", "size", "linked")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.kids, self.names = tag, parent, [], ""
         self.points, self.size, self.linked = 0.0, 0, 0
-        self.cut = tag in NEVER
+        self.cut, self.outside = tag in NEVER, False
         if attributes and not self.cut:
             a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
             self.names = f"{a.get('class', '')} {a.get('id', '')}".strip()
             hidden = "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-            outside = bool(self.names and tag not in ("html", "body", "article", "main") and OUTSIDE.search(self.names))
-            self.cut = hidden or outside or a.get("role", "").lower() in ROLES
+            self.outside = bool(self.names and tag not in ("html", "body", "article", "main") and OUTSIDE.search(self.names))
+            self.cut = hidden or a.get("role", "").lower() in ROLES
 
 
 def parse(html: str) -> Node:
@@ -120,6 +120,35 @@ def parse(html: str) -> Node:
     return root
 
 
+def cut_outside(root: Node) -> None:
+    """Cut parts by names that mark them outside the text, but not those that hold an article or main without such a name, nor
+    those with more than half of the page's text if they hold an article or a name speaks for them as well."""
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if not x.cut:
+            order.append(x)
+            todo += [k for k in x.kids if isinstance(k, Node)]
+    some, plain, open_cases = set(), set(), []
+    for x in reversed(order):
+        for k in x.kids:
+            if isinstance(k, str):
+                x.size += len(k.strip())
+            elif not k.cut:
+                x.size += k.size
+                if k in some or k.tag in ("article", "main"):
+                    some.add(x)
+                if k in plain or k.tag in ("article", "main") and not OUTSIDE.search(k.names):
+                    plain.add(x)
+        if x.outside and x not in plain:
+            if x in some or INSIDE.search(OUTSIDE.sub(" ", x.names)):
+                open_cases.append(x)
+            else:
+                x.cut = True
+    for x in open_cases:
+        x.cut = 2 * x.size <= root.size
+
+
 def weigh(node: Node) -> None:
     """Fill in, from the leaves up, how much text each node holds and how much of it stands in links; no recursion, for deep trees."""
     order, todo = [], [node]
@@ -185,6 +214,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    cut_outside(root)
     weigh(root)
     best, most, todo = root, 0.0, [root]
     while todo:

@@ -162,6 +162,16 @@ def test_main_text():
     assert pages.main_text("<p>short") == "short" and pages.main_text("a < b") == "a < b"
 
 
+def test_layout_and_post_classes_do_not_cut_the_text():
+    text = "One long sentence, of the text, that goes on. " * 5
+    for name in ("content with-sidebar", "entry-content no-sidebar", "post-12 post type-post tag-news"):
+        page = f'<body><div class="{name}"><p>{text}</p><p>{text}</p><div class="share-post"><p>Share, it, now.</p></div></div><div class="sidebar"><p>side, side</p></div>'
+        assert pages.main_text(page) == "\n".join([text.strip()] * 2)
+    assert pages.main_text(f'<body><div class="has sidebar"><article><p>{text}</p></article></div>') == text.strip()
+    comments = f'<div id="comments"><article class="comment-body"><p>Reader, says.</p></article></div>'
+    assert pages.main_text(f"<body><article><p>{text}</p></article>{comments}") == text.strip()
+
+
 def test_pages_query(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "<p>" + "long text, " * 50_000, "y"), (3, "w", "<div>" * 3000 + "deep" + "<a " * 3000, "z")], "page_id bigint, url string, html string, text string")
     got = pages.extract_pages(df).collect()
