@@ -1,84 +1,113 @@
 """A small causal self-attention model in numpy: forward and backward passes over batches of windows.
 
-The next subword is predicted in two steps: its class, from the last subword and one masked attention head over the window with
-relative position bias; then the subword within its class, by its share of corpus counts.
+The next subword is predicted in three steps: a group of classes and a class of that group, each from the last subword and one masked
+attention head over the window with relative position bias; then the subword within its class, by its share of corpus counts.
+Batches are small enough that a task's working set stays in its core's cache.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-T, STEP, DIM = 32, 24, 16
-TRIL = np.tril(np.ones((T, T), np.float32))
-LAG = np.where(np.tril(np.ones((T, T), bool)), np.arange(T)[:, None] - np.arange(T)[None, :], 0)
+T, STEP, DIM, GROUPS, MEMBERS, BATCH = 32, 24, 16, 8, 8, 128
+MASK = np.where(np.tril(np.ones((T, T), bool)), np.float32(0), np.float32(-1e9))
+LAG = np.where(MASK == 0, np.arange(T)[:, None] - np.arange(T)[None, :], 0)
+ONES, GROUP_ONES = np.ones((T, 1), np.float32), np.ones((GROUPS, 1), np.float32)
+#: Exponents are held below this, so that sums of them stay finite.
+STEEP = np.float32(60)
+H = 2 * DIM + 1
 
 
 def new_parameters(inputs: int, class_share: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
-    """Starts as the unigram model: the bias is the classes' log share, and all that reads the context gives nothing yet."""
+    """Starts as the unigram model: the heads hold the classes' log shares, and all that reads the context gives nothing yet."""
     r = np.random.default_rng(seed)
     f = lambda *s: (r.standard_normal(s) * 0.3).astype(np.float32)
-    return {"E": f(inputs, DIM), "Q": f(DIM, DIM), "K": f(DIM, DIM), "V": f(DIM, DIM), "R": np.zeros(T, np.float32), "M": np.zeros((DIM, len(class_share)), np.float32), "W": np.zeros((DIM, len(class_share)), np.float32), "b": np.log(class_share).astype(np.float32)}
+    share = np.maximum(class_share, 1e-9).reshape(GROUPS, MEMBERS)
+    p = {"E": f(inputs, DIM), "A": f(DIM, 3 * DIM), "R": np.zeros(T, np.float32), "G": np.zeros((H, GROUPS), np.float32), "M": np.zeros((GROUPS, H, MEMBERS), np.float32)}
+    p["G"][-1] = np.log(share.sum(1))
+    p["M"][:, -1] = np.log(share / share.sum(1, keepdims=True))
+    return p
+
+
+def attend(qkv: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """qkv (B, T, 3 DIM) -> what the head brings to each place (B T, DIM), unnormalized weights (B, T, T), their sums (B T, 1)."""
+    s = np.matmul(qkv[..., :DIM], qkv[..., DIM : 2 * DIM].transpose(0, 2, 1))
+    s += bias
+    np.minimum(s, STEEP, out=s)
+    np.exp(s, out=s)
+    total = s.reshape(-1, T) @ ONES
+    return np.matmul(s, qkv[..., 2 * DIM :]).reshape(-1, DIM) / total, s, total
 
 
-def forward(p: dict, x: np.ndarray) -> tuple:
-    """x (B, T) input numbers -> what the head brings to each place, and what the backward pass needs."""
-    q, k, v = (p["E"] @ p["Q"] * np.float32(DIM**-0.5))[x], (p["E"] @ p["K"])[x], (p["E"] @ p["V"])[x]
-    s = np.matmul(q, k.transpose(0, 2, 1))
-    s += p["R"][LAG] * TRIL
-    np.minimum(s, 40, out=s)
-    np.exp(s, out=s)
-    s *= TRIL
-    s /= s.sum(2, keepdims=True)
-    return np.matmul(s, v), s, q, k, v
+def scaled(a: np.ndarray) -> np.ndarray:
+    """The projections with the queries' scale in them."""
+    return np.concatenate([a[:, :DIM] * np.float32(DIM**-0.5), a[:, DIM:]], 1)
 
 
-def make_tables(p: dict) -> dict:
-    """For scoring, per input: query, key and value with a one behind it, side by side; direct logits; bias with the mask in it."""
-    q, k, v = p["E"] @ p["Q"] * np.float32(DIM**-0.5), p["E"] @ p["K"], p["E"] @ p["V"]
-    one = np.ones((len(q), 1), np.float32)
-    most = np.linalg.norm(q, axis=1).max() * np.linalg.norm(k, axis=1).max() + np.abs(p["R"]).max()
-    bias = np.where(TRIL > 0, p["R"][LAG], np.float32(-1e9)).astype(np.float32)
-    return {"qkv": np.concatenate([q, k, v, one], 1).astype(np.float32), "direct": (p["E"] @ p["W"] + p["b"]).astype(np.float32), "bias": bias, "steep": bool(most > 40), "ones": np.ones((len(p["b"]), 1), np.float32)}
-
-
-def attend(t: dict, x: np.ndarray) -> np.ndarray:
-    """What the head brings to each place of x (B, T): the values before it, weighted; weights are divided by their sum at the end."""
-    g = np.take(t["qkv"], x, axis=0, mode="clip")
-    s = np.matmul(g[..., :DIM], np.ascontiguousarray(g[..., DIM : 2 * DIM].transpose(0, 2, 1)))
-    s += t["bias"]
-    if t["steep"]:
-        np.minimum(s, 40, out=s)
-    np.exp(s, out=s)
-    o = np.matmul(s, g[..., 2 * DIM :])
-    return o[..., :DIM] / o[..., DIM:]
+def heads(p: dict, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponents of the group and the member logits of rows h, sorted by their target's group; bounds are the groups' first rows."""
+    eg, em = h @ p["G"], np.empty((len(h), MEMBERS), np.float32)
+    for g in range(GROUPS):
+        a, z = bounds[g], bounds[g + 1]
+        if a < z:
+            np.matmul(h[a:z], p["M"][g], out=em[a:z])
+    for e in (eg, em):
+        np.minimum(e, STEEP, out=e)
+        np.exp(e, out=e)
+    return eg, em
+
+
+def sorted_by_group(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.argsort(group, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))])
 
 
 def loss_and_gradients(p: dict, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict]:
     """Mean negative log likelihood in nats of classes y (B, T) where mask, and its gradients."""
-    o, s, q, k, v = forward(p, x)
-    e = p["E"][x]
-    z = e @ p["W"] + o @ p["M"] + p["b"]
-    z -= z.max(-1, keepdims=True)
-    d = np.exp(z)
-    d /= d.sum(-1, keepdims=True)
-    n = max(1, int(mask.sum()))
-    picked = np.take_along_axis(d, y[..., None], 2)[..., 0]
-    loss = float(-(np.log(picked + 1e-30) * mask).sum() / n)
-    np.put_along_axis(d, y[..., None], picked[..., None] - 1, 2)
-    d *= mask[..., None] / np.float32(n)
-    flat = lambda a: a.reshape(-1, a.shape[-1])
-    g = {"M": flat(o).T @ flat(d), "W": flat(e).T @ flat(d), "b": flat(d).sum(0)}
-    do = d @ p["M"].T
-    ds = np.matmul(do, v.transpose(0, 2, 1))
-    dv = np.matmul(s.transpose(0, 2, 1), do)
-    ds = s * (ds - (ds * s).sum(2, keepdims=True))
-    g["R"] = np.bincount(LAG.ravel(), (ds.sum(0) * TRIL).ravel(), T).astype(np.float32)
-    dq, dk = np.matmul(ds, k) * np.float32(DIM**-0.5), np.matmul(ds.transpose(0, 2, 1), q)
-    de = d @ p["W"].T + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
-    g |= {"Q": flat(e).T @ flat(dq), "K": flat(e).T @ flat(dk), "V": flat(e).T @ flat(dv)}
-    g["E"] = np.zeros_like(p["E"])
-    np.add.at(g["E"], x.ravel(), flat(de))
-    return loss, g
+    a, n = scaled(p["A"]), max(1, int(np.count_nonzero(mask)))
+    e = np.take(p["E"], x.reshape(-1), axis=0)
+    qkv = (e @ a).reshape(*x.shape, 3 * DIM)
+    o, s, total = attend(qkv, p["R"][LAG] + MASK)
+    rows = np.flatnonzero(mask)
+    goal = y.reshape(-1)[rows]
+    order, bounds = sorted_by_group((goal // MEMBERS).astype(np.uint8))
+    rows, goal = rows[order], goal[order]
+    group, member = goal // MEMBERS, goal % MEMBERS
+    h = np.empty((len(rows), H), np.float32)
+    h[:, :DIM], h[:, DIM:-1], h[:, -1] = e[rows], o[rows], 1
+    dg, dm = heads(p, h, bounds)
+    at, loss = np.arange(len(rows)), 0.0
+    for d, to in ((dg, group), (dm, member)):
+        d /= d @ GROUP_ONES
+        picked = d[at, to]
+        loss -= float(np.log(picked + 1e-30).sum()) / n
+        d[at, to] = picked - 1
+        d /= np.float32(n)
+    grad = {"G": h.T @ dg, "M": np.zeros_like(p["M"])}
+    dh = dg @ p["G"].T
+    for g in range(GROUPS):
+        u, z = bounds[g], bounds[g + 1]
+        if u < z:
+            grad["M"][g] = h[u:z].T @ dm[u:z]
+            dh[u:z] += dm[u:z] @ p["M"][g].T
+    de, do = np.zeros_like(e), np.zeros_like(o)
+    de[rows], do[rows] = dh[:, :DIM], dh[:, DIM:-1]
+    s *= (1 / total).reshape(*x.shape, 1)
+    do3 = do.reshape(*x.shape, DIM)
+    ds = np.matmul(do3, qkv[..., 2 * DIM :].transpose(0, 2, 1))
+    ds -= np.einsum("ij,ij->i", do, o).reshape(*x.shape, 1)
+    ds *= s
+    grad["R"] = np.bincount(LAG.ravel(), ds.sum(0).ravel(), T).astype(np.float32)
+    back = np.empty_like(qkv)
+    back[..., :DIM] = np.matmul(ds, qkv[..., DIM : 2 * DIM])
+    back[..., DIM : 2 * DIM] = np.matmul(ds.transpose(0, 2, 1), qkv[..., :DIM])
+    back[..., 2 * DIM :] = np.matmul(s.transpose(0, 2, 1), do3)
+    back = back.reshape(-1, 3 * DIM)
+    de += back @ a.T
+    grad["A"] = e.T @ back
+    grad["A"][:, :DIM] *= np.float32(DIM**-0.5)
+    at = x.reshape(-1, 1) * DIM + np.arange(DIM)
+    grad["E"] = np.bincount(at.ravel(), de.ravel(), p["E"].size).astype(np.float32).reshape(p["E"].shape)
+    return loss, grad
 
 
 def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,45 +116,56 @@ def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.where(starts == 0, 0, T - STEP)
 
 
-class Adam:
-    def __init__(self, p: dict, rate: float = 0.01):
-        self.p, self.rate, self.k = p, rate, 0
+class Trainer:
+    """Adam steps over batches of windows; each window of each id sequence given is learnt once."""
+
+    def __init__(self, p: dict, rate: float = 0.01, seed: int = 3):
+        self.p, self.rate, self.k, self.seen = {n: a.copy() for n, a in p.items()}, rate, 0, 0
         self.m, self.v = ({n: np.zeros_like(a) for n, a in p.items()} for _ in range(2))
+        self.random = np.random.default_rng(seed)
 
     def step(self, g: dict) -> None:
         self.k += 1
+        rate, root = np.float32(self.rate / (1 - 0.9**self.k)), np.float32((1 - 0.99**self.k) ** -0.5)
         for n, a in self.p.items():
-            self.m[n] += 0.1 * (g[n] - self.m[n])
-            self.v[n] += 0.01 * (g[n] ** 2 - self.v[n])
-            a -= self.rate * (self.m[n] / (1 - 0.9**self.k)) / (np.sqrt(self.v[n] / (1 - 0.99**self.k)) + 1e-8)
-
-
-def train(p: dict, streams: list[np.ndarray], inputs_of: np.ndarray, class_of: np.ndarray, batch: int = 24, epochs: int = 1, seed: int = 3) -> tuple[dict, int]:
-    """Parameters after passes over the windows of these id sequences (each with its end ids), and the number of predictions used."""
-    rows = []
-    for ids in streams:
-        for a in range(0, len(ids) - 1, T):
-            rows.append(ids[a : a + T + 1])
-    if not rows:
-        return p, 0
-    p = {k: v.copy() for k, v in p.items()}
-    adam, r, seen = Adam(p), np.random.default_rng(seed), 0
-    for _ in range(epochs):
-        order = r.permutation(len(rows))
-        for i in range(0, len(order), batch):
-            some = [rows[j] for j in order[i : i + batch]]
-            ids = np.full((len(some), T + 1), some[0][0])
-            mask = np.zeros((len(some), T), np.float32)
-            for j, row in enumerate(some):
-                ids[j, : len(row)] = row
-                mask[j, : len(row) - 1] = 1
-            _, g = loss_and_gradients(p, inputs_of[ids[:, :-1]], class_of[ids[:, 1:]], mask)
-            adam.step(g)
-            seen += int(mask.sum())
-    return p, seen
-
-
-def score(p: dict, streams: list[np.ndarray], inputs_of: np.ndarray, class_of: np.ndarray, within: np.ndarray, batch: int = 512, tables: dict | None = None) -> np.ndarray:
+            m, v, d = self.m[n], self.v[n], g[n]
+            m += np.float32(0.1) * (d - m)
+            d *= d
+            v += np.float32(0.01) * (d - v)
+            d = np.sqrt(v)
+            d *= root
+            d += np.float32(1e-8)
+            a -= rate * m / d
+
+    def learn(self, streams: list[np.ndarray], inputs_of: np.ndarray, class_of: np.ndarray) -> float:
+        """One pass over the windows of these id sequences (each with its end ids), in shuffled order; the last step's loss."""
+        streams = [ids for ids in streams if len(ids) > 1]
+        if not streams:
+            return 0.0
+        begins = np.concatenate([[0], np.cumsum([len(ids) for ids in streams])])
+        starts = np.concatenate([np.arange(b, z - 1, T) for b, z in zip(begins[:-1], begins[1:], strict=True)])
+        last = begins[np.searchsorted(begins, starts, side="right")] - 1
+        whole = np.concatenate([*streams, np.zeros(T + 1, streams[0].dtype)])
+        x_all, y_all, places, loss = np.take(inputs_of, whole), np.take(class_of, whole), np.arange(T), 0.0
+        order = self.random.permutation(len(starts))
+        for i in range(0, len(order), BATCH):
+            some = order[i : i + BATCH]
+            at = starts[some, None] + places
+            mask = at < last[some, None]
+            loss, g = loss_and_gradients(self.p, np.take(x_all, at), np.take(y_all, at + 1), mask)
+            self.step(g)
+            self.seen += int(np.count_nonzero(mask))
+        return loss
+
+
+def make_tables(p: dict) -> dict:
+    """For scoring: what each input alone gives to query, key, value and to both heads, and the heads' parts for what attention brings."""
+    by_member = p["M"].transpose(1, 0, 2).reshape(H, -1)
+    rows = lambda m: (p["E"] @ m[:DIM] + m[-1]).astype(np.float32)
+    return {"qkv": (p["E"] @ scaled(p["A"])).astype(np.float32), "bias": (p["R"][LAG] + MASK).astype(np.float32), "group": rows(p["G"]), "member": rows(by_member).reshape(-1, MEMBERS), "from_head": np.concatenate([p["G"][DIM:-1], by_member[DIM:-1]], 1).astype(np.float32)}
+
+
+def score(p: dict, streams: list[np.ndarray], inputs_of: np.ndarray, class_of: np.ndarray, within: np.ndarray, tables: dict | None = None) -> np.ndarray:
     """Natural log probability of each id sequence given its first id; every later id is scored once."""
     t = tables or make_tables(p)
     if not streams:
@@ -140,19 +180,22 @@ def score(p: dict, streams: list[np.ndarray], inputs_of: np.ndarray, class_of: n
         base += len(ids)
     whole = np.concatenate([*streams, np.full(T + 1, streams[0][0])])
     starts, froms, sizes, owner = map(np.concatenate, (starts, froms, sizes, owner))
-    out = np.zeros(len(streams))
-    x_all, c_all, w_all = np.take(inputs_of, whole), np.take(class_of, whole), np.take(within, whole)
-    places = np.arange(T)
-    for i in range(0, len(starts), batch):
-        at = starts[i : i + batch, None] + places
+    out, places = np.zeros(len(streams)), np.arange(T)
+    x_all, c_all, w_all = np.take(inputs_of, whole).astype(np.int64), np.take(class_of, whole).astype(np.int64), np.take(within, whole)
+    for i in range(0, len(starts), BATCH):
+        at = starts[i : i + BATCH, None] + places
         x = np.take(x_all, at)
-        use = (places >= froms[i : i + batch, None]) & (places < sizes[i : i + batch, None])
-        rows = np.flatnonzero(use)
-        z = np.take(attend(t, x).reshape(-1, DIM), rows, axis=0) @ p["M"]
-        z += np.take(t["direct"], np.take(x, rows), axis=0, mode="clip")
-        goal = np.take(at, rows) + 1
-        got = z[np.arange(len(rows)), np.take(c_all, goal)]
-        np.exp(z, out=z)
-        got = got - np.log(z @ t["ones"])[:, 0] + np.take(w_all, goal)
-        out += np.bincount(np.repeat(owner[i : i + batch], use.sum(1)), got, len(streams))
+        o, _, _ = attend(np.take(t["qkv"], x, axis=0), t["bias"])
+        rows = np.flatnonzero((places >= froms[i : i + BATCH, None]) & (places < sizes[i : i + BATCH, None]))
+        goal, x, n = np.take(at, rows) + 1, np.take(x, rows), np.arange(len(rows))
+        c = np.take(c_all, goal)
+        group = c // MEMBERS
+        z = np.take(o, rows, axis=0) @ t["from_head"]
+        eg = z[:, :GROUPS] + np.take(t["group"], x, axis=0)
+        em = np.take(z.reshape(-1, MEMBERS), n * (1 + GROUPS) + 1 + group, axis=0) + np.take(t["member"], x * GROUPS + group, axis=0)
+        for e in (eg, em):
+            np.minimum(e, STEEP, out=e)
+            np.exp(e, out=e)
+        got = np.log(eg[n, group] * em[n, c % MEMBERS] / ((eg @ GROUP_ONES) * (em @ GROUP_ONES))[:, 0] + np.float32(1e-37)) + np.take(w_all, goal)
+        out += np.bincount(owner[i + rows // T], got, len(streams))
     return out

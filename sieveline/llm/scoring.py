@@ -1,10 +1,10 @@
 """Language-model scores: a counted unigram base and a causal self-attention model on subword ids.
 
 Texts are read as words with A-Z in lower case and an end. Word counts over all training documents give the base score; the
-words with the highest counts (at most HOT) go to every task, the occurrences of all others are joined by word.
+words with the highest counts (at most HOT, of HOT_BYTES at most) go to every task, the occurrences of all others are joined by word.
 Subword counts come from the word counts, since a word's subwords do not depend on its neighbours. The attention model
 is trained by all partitions on all training documents, each in one of ROUNDS rounds by a hash: in a round each partition trains
-from the common state, and states are averaged by the predictions they saw. Windows overlap so that
+from the common state, and states are averaged up a tree by the predictions they saw. Windows overlap so that
 each subword is scored once with context before it.
 
 Null and empty texts are the end alone. A null doc_id counts as the text ''. Without training documents counts are zero, base scores follow the
@@ -18,17 +18,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm import attention
 from sieveline.llm.common import dropped, written
-from sieveline.llm.tokens import Ids, paths
+from sieveline.llm.tokens import Bounded, ids_of, paths
 from sieveline.llm.toxicity import remainder
 
-HOT, KEYS, ROUNDS = 300_000, 500_000, 2
+HOT, HOT_BYTES, KEYS, ROUNDS = 300_000, 64, 500_000, 2
 #: Subwords with an input of their own, classes of those by neighbours, classes of the rest by count, buckets of neighbours.
 OWN, CLASSES, RARE, BUCKETS = 2048, 56, 8, 64
+#: Partitions whose states one task averages.
+FAN = 64
+#: Ids learnt or scored at once.
+CHUNK = 200_000
 END, SIZE = 50256, 50257
 
 
@@ -36,40 +41,24 @@ def lower_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-class WordIds(dict):
-    """word -> bytes of its ids, read after a space."""
+class Words(Bounded):
+    """word -> (bytes of its ids, read after a space; what `known` has for it)."""
 
-    def __init__(self, where: tuple[str, str, str]):
+    def __init__(self, where: tuple[str, str, str], known: dict[bytes, float] | None = None):
         super().__init__()
-        self.ids = _tokenizer(where)
+        self.quick, self.known = ids_of(where).quick, known or {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= 400_000:
-            self.clear()
-        out = self[word] = self.ids.quick(" " + word.decode("utf-8", "replace"), set())
-        return out
+    def __missing__(self, word: bytes) -> tuple[bytes, float | None]:
+        ids = self.quick(" " + word.decode("utf-8", "replace"), set())
+        return self.keep(word, (ids, self.known.get(word)), len(ids))
 
 
-_made: dict = {}
+_END = np.array([END], "<u4").tobytes()
 
 
-def _tokenizer(where: tuple[str, str, str]) -> Ids:
-    if where not in _made:
-        _made[where] = Ids(*where)
-    return _made[where]
-
-
-def _word_ids(where: tuple[str, str, str]) -> WordIds:
-    key = ("words", where)
-    if key not in _made:
-        _made[key] = WordIds(where)
-    return _made[key]
-
-
-def stream(read: WordIds, ws: list[bytes]) -> np.ndarray:
+def stream(ids: list[bytes]) -> np.ndarray:
     """END, the ids of the words, END."""
-    end = np.array([END], "<u4").tobytes()
-    return np.frombuffer(b"".join([end, *map(read.__getitem__, ws), end]), "<u4").astype(np.int32)
+    return np.frombuffer(b"".join([_END, *ids, _END]), "<u4").astype(np.int32)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -110,20 +99,45 @@ def classes_of(counts: np.ndarray, near: np.ndarray, own: np.ndarray) -> np.ndar
         total = np.bincount(at, w, CLASSES)
         for c in np.flatnonzero(total):
             centre[c] = (f[at == c] * w[at == c, None]).sum(0) / total[c]
+    # neighbours in one group: classes in the order of their centres along the line of most spread
+    spread = np.linalg.svd(centre - centre.mean(0), full_matrices=False)[2][0]
+    rank = np.empty(CLASSES, np.int64)
+    rank[np.argsort(centre @ spread, kind="stable")] = np.arange(CLASSES)
     rest = np.setdiff1d(np.arange(SIZE), own)
     order = rest[np.argsort(-counts[rest], kind="stable")]
     mass = np.cumsum(counts[order] + 0.1)
     cls[order] = CLASSES + np.minimum(RARE - 1, (mass / mass[-1] * RARE).astype(int))
-    cls[own] = at
+    cls[own] = rank[at]
     return cls
 
 
+def average(spark: SparkSession, states: DataFrame, p: dict) -> tuple[dict, int]:
+    """The mean of (part, seen, one binary a parameter) rows by what they saw, summed up a tree of FAN to one; the predictions they saw."""
+    schema, names = states.schema, list(p)
+
+    def add(t: pa.Table) -> pa.Table:
+        seen = t["seen"].to_pylist()
+        total = [sum(n * np.frombuffer(x.as_py(), "<f4").astype(float) for n, x in zip(seen, t[k], strict=True)) / max(1, sum(seen)) for k in names]
+        return pa.table([t["part"][:1], pa.array([sum(seen)]), *(pa.array([x.astype("<f4").tobytes()]) for x in total)], ["part", "seen", *names])
+
+    n = states.count()
+    while n > 1:
+        up = written(spark, states.withColumn("part", F.floor(F.col("part") / FAN).cast("bigint")).groupBy("part").applyInArrow(add, schema), "states")
+        dropped(spark, states)
+        states, n = up, up.count()
+    rows = states.collect()  # one row of a fixed size, or none
+    dropped(spark, states)
+    if not rows:
+        return p, 0
+    return {k: np.frombuffer(rows[0][k], "<f4").reshape(v.shape) for k, v in p.items()}, rows[0]["seen"]
+
+
 def fit(spark: SparkSession, docs: DataFrame, counts: DataFrame, n_docs: int, where: tuple[str, str, str]) -> dict:
     """The attention model from (word, n) counts and the training documents (text, doc_id); seen is the number of predictions it learnt from."""
     sc = spark.sparkContext
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _tokenizer(where)
+        ids = ids_of(where)
         for b in batches:
             raw = [ids.quick(" " + w.as_py().decode("utf-8", "replace"), set()) for w in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), b.column(1)], ["ids", "n"])
@@ -179,27 +193,24 @@ def fit(spark: SparkSession, docs: DataFrame, counts: DataFrame, n_docs: int, wh
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
             start, inputs, cls = sent.value
-            p, seen, read = start, 0, _word_ids(where)
+            trainer, read = attention.Trainer(start, seed=turn), Words(where)
             for b in batches:
-                texts = b.column(0)
-                for i in range(0, len(texts), 512):
-                    p, n = attention.train(p, [stream(read, lower_words(t.as_py())) for t in texts[i : i + 512]], inputs, cls, seed=turn)
-                    seen += n
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen]), *(pa.array([v.astype("<f4").tobytes()]) for v in p.values())], ["seen", *p])
-
-        schema = "seen bigint, " + ", ".join(f"{k} binary" for k in p)
+                some, size = [], 0
+                for t in b.column(0):
+                    some.append(stream([read[w][0] for w in lower_words(t.as_py())]))
+                    size += len(some[-1])
+                    if size > CHUNK:
+                        trainer.learn(some, inputs, cls)
+                        some, size = [], 0
+                trainer.learn(some, inputs, cls)
+            if trainer.seen:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([trainer.seen]), *(pa.array([v.astype("<f4").tobytes()]) for v in trainer.p.values())], ["part", "seen", *trainer.p])
+
+        schema = "part bigint, seen bigint, " + ", ".join(f"{k} binary" for k in p)
         some = docs.where(F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "text"), F.lit(ROUNDS)) == turn).select("text")
-        total, weight = {k: np.zeros(v.size) for k, v in p.items()}, 0
-        states = written(spark, some.mapInArrow(learn, schema), "states")  # all partitions at once; the iterator alone would train one after another
-        for r in states.toLocalIterator():  # one state at a time, each of a fixed size
-            weight += r["seen"]
-            for k in total:
-                total[k] += r["seen"] * np.frombuffer(r[k], "<f4")
-        dropped(spark, states)
-        learnt += weight
-        if weight:
-            p = {k: (total[k] / weight).astype(np.float32).reshape(v.shape) for k, v in p.items()}
+        p, seen = average(spark, written(spark, some.mapInArrow(learn, schema), "states"), p)
+        learnt += seen
+        sent.destroy()
     return {"p": p, "inputs": inputs, "classes": cls, "within": within, "seen": learnt}
 
 
@@ -212,36 +223,38 @@ def score_documents(spark: SparkSession, docs: DataFrame, where: tuple[str, str,
     n_docs = learnt.count()
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     total, distinct = int(total or 0) + n_docs, distinct + (n_docs > 0)
-    # the least count such that at most `hot` words have it or more
-    least, held = 1, 0
-    for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
-        held += r["count"]
+    # the least count such that at most `hot` words of HOT_BYTES or less have it or more, to a sixteenth of an octave
+    short = F.octet_length("word") <= HOT_BYTES
+    least, held = None, 0
+    for r in counts.where(short).groupBy(F.floor(F.log2("n") * 16).alias("c")).agg(F.count("*").alias("k"), F.min("n").alias("n")).orderBy(F.desc("c")).collect():  # some 16 x 63 rows at most
+        held += r["k"]
         if held > hot:
-            least = r["n"] + 1
             break
-    top = counts.where(F.col("n") >= least).toArrow()
+        least = r["n"]
+    is_hot = short & (F.col("n") >= F.lit(least)) if least is not None else F.lit(False)
+    top = counts.where(is_hot).toArrow()
     known = dict(zip(top["word"].to_pylist(), np.log10(top["n"].to_numpy() + 0.1).tolist(), strict=True))
     sent = spark.sparkContext.broadcast({"known": known, "end": n_docs} | fit(spark, learnt, counts, n_docs, where))
     del known, top
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        read, known, tables = _word_ids(where), m["known"], attention.make_tables(m["p"])
+        read, tables = Words(where, m["known"]), attention.make_tables(m["p"])
+        of_end = float(np.log10(m["end"] + 0.1))
         for b in batches:
-            texts = b.column(2)
             n, hit, logs, rare, model = [], [], [], [], []
             streams, size = [], 0
-            for t in texts:
+            for t in b.column(2):
                 ws = lower_words(t.as_py())
-                got = [known.get(w) for w in ws]
-                left = [w for w, x in zip(ws, got, strict=True) if x is None] if None in got else []
+                got = list(map(read.__getitem__, ws))
+                known = [x for _, x in got if x is not None]
                 n.append(len(ws) + 1)
-                hit.append(len(ws) - len(left) + (m["end"] > 0))
-                logs.append(sum([x for x in got if x is not None] if left else got) + float(np.log10(m["end"] + 0.1)))
-                rare.append(left)
-                streams.append(stream(read, ws))
+                hit.append(len(known) + (m["end"] > 0))
+                logs.append(sum(known) + of_end)
+                rare.append([w for w, g in zip(ws, got, strict=True) if g[1] is None] if len(known) < len(ws) else [])
+                streams.append(stream([x for x, _ in got]))
                 size += len(streams[-1])
-                if size > 200_000:
+                if size > CHUNK:
                     model.append(attention.score(m["p"], streams, m["inputs"], m["classes"], m["within"], tables=tables))
                     streams, size = [], 0
             model.append(attention.score(m["p"], streams, m["inputs"], m["classes"], m["within"], tables=tables))
@@ -251,7 +264,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, where: tuple[str, str,
     made = written(spark, made.withColumn("row", F.monotonically_increasing_id()), "scored")
     # the other words of each document, as often as they occur there, meet their counts
     left = made.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
-    met = left.join(counts.where(F.col("n") < least), "word", "left")
+    met = left.join(counts.where(~is_hot), "word", "left")
     met = met.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("more"), F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more_logs"))
     norm = float(np.log10(total + 0.1 * (distinct + 1)))
     out = made.drop("rare").join(met, "row", "left")

@@ -20,16 +20,39 @@ ODD = re.compile(r"[^ -~\n\xa1-ſ]")
 SPECIAL = "<|endoftext|>"
 
 
-class Ids(dict):
-    """chunk -> its ids as little-endian unsigned 32-bit bytes. Emptied when `most` chunks are held."""
+class Bounded(dict):
+    """A memory of texts and what was made of them, emptied when what it holds comes to `most` bytes, about."""
 
-    def __init__(self, json_path: str, ranks_path: str, pattern: str, most: int = 400_000):
+    #: What an entry takes besides its text and its value.
+    ENTRY = 200
+
+    def __init__(self, most: int = 96 << 20):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def keep(self, key, value, size: int):
+        """Remember value, which takes about `size` bytes beside the key, and return it."""
+        size += len(key) + self.ENTRY
+        if size > self.most >> 4:
+            return value
+        if self.held + size > self.most:
+            self.clear()
+            self.held = 0
+        self.held += size
+        self[key] = value
+        return value
+
+
+class Ids(Bounded):
+    """chunk -> its ids as little-endian unsigned 32-bit bytes."""
+
+    def __init__(self, json_path: str, ranks_path: str, pattern: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.exact, self.most = Tokenizer.from_file(json_path), most
+        self.exact = Tokenizer.from_file(json_path)
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         core = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
@@ -39,10 +62,8 @@ class Ids(dict):
             self.quick = lambda t, _: np.array(core.encode_ordinary(t), "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        out = self[chunk] = self.quick(chunk, set())
-        return out
+        ids = self.quick(chunk, set())
+        return self.keep(chunk, ids, len(ids))
 
     def of(self, text: str) -> bytes:
         if ODD.search(text) or SPECIAL in text:
