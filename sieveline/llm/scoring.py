@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm import attention
-from sieveline.llm.common import dropped, written
+from sieveline.llm.common import dropped, one_core_each, written
 from sieveline.llm.tokens import Bounded, ids_of, paths
 from sieveline.llm.toxicity import remainder
 
@@ -192,6 +192,7 @@ def fit(spark: SparkSession, docs: DataFrame, counts: DataFrame, n_docs: int, wh
         sent = sc.broadcast((p, inputs, cls))
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
+            one_core_each()
             start, inputs, cls = sent.value
             trainer, read = attention.Trainer(start, seed=turn), Words(where)
             for b in batches:
@@ -238,6 +239,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, where: tuple[str, str,
     del known, top
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_core_each()
         m = sent.value
         read, tables = Words(where, m["known"]), attention.make_tables(m["p"])
         of_end = float(np.log10(m["end"] + 0.1))

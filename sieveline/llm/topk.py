@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import written
+from sieveline.llm.common import one_core_each, written
 
 #: Queries broadcast at once, rows in a block.
 BATCH, BLOCK = 8192, 512
@@ -107,6 +107,7 @@ def exact_topk(spark: SparkSession, vectors: DataFrame, k: int = 10, every: int
         sent = spark.sparkContext.broadcast((np.array([r[0] for r in got], np.int64), matrix([r[1] for r in got], dims)))
 
         def search(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            one_core_each()
             qids, q = sent.value
             top = empty_top(len(q), k)
             for b in it:  # an Arrow batch is bounded; its blocks are ordered together, against what went before
