@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sieveline.llm import mixing
 from sieveline.llm.common import table
 
 
@@ -70,6 +71,38 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_outliers, op3_secret_scan, op4_toxicity, op5_best_fit_packing, op6_source_mixing, op7_html_main_text, op8_attention_scores, op9_substring_dedup, op10_exact_topk)}
 
 SQL = {
+    "op6_source_mixing": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS key
+  FROM documents
+), s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, row_number() OVER (ORDER BY source NULLS LAST) AS sidx FROM d GROUP BY source),
+s1 AS (SELECT *, CAST(list_extract({list(mixing.WEIGHTS)}, (sidx - 1) % {len(mixing.WEIGHTS)} + 1) AS DOUBLE) AS w, CAST(s AS DOUBLE) * {mixing.CAP} AS cap FROM s0),
+s2 AS (
+  SELECT *, cap / w AS ratio,
+         (sum(CAST(s AS DOUBLE)) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+  FROM s1 WINDOW before AS (ORDER BY cap / w, sidx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), s3 AS (SELECT source, sidx, s, least(cap, coalesce(max(level) FILTER (ratio >= level) OVER (), 0) * w) AS target FROM s2),
+b AS (SELECT greatest(1, CAST(ceil(sum(size) / {float(mixing.SLOTS)}) AS BIGINT)) AS block FROM d),
+s4 AS (SELECT s3.*, block, CAST(round(target) AS BIGINT) AS goal, (s + block - 1) // block AS blocks FROM s3, b),
+s5 AS (SELECT *, CASE WHEN s > 0 THEN goal // s * blocks + (goal % s + block - 1) // block ELSE 0 END AS need FROM s4),
+s6 AS (SELECT *, sum(need) OVER (ORDER BY sidx) - need AS lo FROM s5),
+n AS (SELECT CAST(sum(need) AS BIGINT) AS total FROM s6),
+k AS (SELECT unnest(range(0, total)) AS slot, total FROM n),
+x AS (SELECT slot, total, (slot + 0.5::DOUBLE) * {mixing.GOLDEN}::DOUBLE AS x FROM k),
+p AS (SELECT slot, least(CAST(floor((x - floor(x)) * total) AS BIGINT), total - 1) AS place FROM x),
+r AS (SELECT slot, sidx, blocks, row_number() OVER (PARTITION BY sidx ORDER BY slot) - 1 AS rank FROM p JOIN s6 ON place >= lo AND place < lo + need),
+t AS (SELECT sidx, rank % blocks AS block_no, count(*) AS times, min(slot) AS slot FROM r WHERE rank < {mixing.CAP} * blocks GROUP BY ALL),
+a AS (
+  SELECT row, doc_id, size, s, target, sidx, block, sum(size) OVER (PARTITION BY sidx ORDER BY key, row) - size AS a
+  FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source
+), c AS (SELECT *, unnest(range(CAST(a // block AS BIGINT), CAST((a + size - 1) // block + 1 AS BIGINT))) AS block_no FROM a WHERE size > 0),
+o AS (
+  SELECT row, sum(times * (least(a + size, (c.block_no + 1) * block) - greatest(a, c.block_no * block))) AS taken, min(slot) AS first_slot
+  FROM c JOIN t USING (sidx, block_no) GROUP BY row
+)
+SELECT doc_id, size, s AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, coalesce(first_slot, -1) AS first_slot FROM a LEFT JOIN o USING (row)
+""",
     "op9_substring_dedup": r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents

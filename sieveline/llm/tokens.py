@@ -26,7 +26,7 @@ class Bounded(dict):
     #: What an entry takes besides its text and its value.
     ENTRY = 200
 
-    def __init__(self, most: int = 96 << 20):
+    def __init__(self, most: int = 48 << 20):
         super().__init__()
         self.most, self.held = most, 0
 

@@ -1,5 +1,6 @@
+import hashlib
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -93,30 +94,102 @@ def brute_targets(size):
     return out
 
 
-def test_mixing_meets_targets(spark, odd_docs, no_docs):
+def brute_mix(rows, slots, golden):
+    """taken and first slot of every (doc_id, text, source) row, straight from the schedule's definition, word by word."""
+    size = [len((t or "").encode().split()) for _, t, _ in rows]
+    of = defaultdict(int)
+    for n, (_, _, s) in zip(size, rows, strict=True):
+        of[s] += n
+    target, total = brute_targets(of), sum(size)
+    block = max(1, -(-total // slots))
+    names = sorted((s for s in of if s is not None)) + [None] * (None in of)
+    blocks = {s: -(-of[s] // block) for s in names}
+    need = {s: of[s] and round(target[s]) // of[s] * blocks[s] + -(-(round(target[s]) % of[s]) // block) for s in names}
+    line = [s for s in names for _ in range(need[s])]
+    takes = defaultdict(list)
+    ranks = Counter()
+    for k in range(len(line)):
+        x = (k + 0.5) * golden
+        s = line[min(len(line) - 1, int((x - int(x)) * len(line)))]
+        if ranks[s] < 3 * blocks[s]:
+            takes[s, ranks[s] % blocks[s]].append(k)
+        ranks[s] += 1
+    out = {}
+    for s in names:
+        mine = sorted((hashlib.md5(f"{'' if rows[i][0] is None else rows[i][0]}|{rows[i][1] or ''}".encode()).hexdigest(), i) for i in range(len(rows)) if rows[i][2] == s)
+        at = 0
+        for _, i in mine:
+            got = [takes[s, w // block] for w in range(at, at + size[i])]
+            out[i] = (sum(map(len, got)), min((k for g in got for k in g), default=-1))
+            at += size[i]
+    return [out[i] for i in range(len(rows))], {s: (of[s], target[s]) for s in names}
+
+
+def told(rows):
+    return sorted(map(str, rows))
+
+
+@pytest.mark.parametrize("slots", [300, 1 << 20])
+def test_mixing_is_the_schedule(spark, odd_docs, no_docs, monkeypatch, slots):
+    monkeypatch.setattr(mixing, "SLOTS", slots)
     _, wide, rows = odd_docs
     got = mixing.mix_documents(spark, wide).collect()
-    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_documents(spark, wide.repartition(3)).collect()))
-    size = defaultdict(int)
-    for _, t, _, s, _ in rows:
-        size[s] += len((t or "").encode().split())
-    want = brute_targets(size)
-    assert len(got) == len(rows)
-    by_size = defaultdict(lambda: [0, 0.0])
+    assert told(got) == told(mixing.mix_documents(spark, wide.repartition(3)).collect())
+    plain = [(d, t, s) for d, t, _, s, _ in rows]
+    want, sources = brute_mix(plain, slots, mixing.GOLDEN)
+    assert sorted(str((r["doc_id"], r["taken"], r["first_slot"])) for r in got) == sorted(str((d, *w)) for (d, _, _), w in zip(plain, want, strict=True))
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    by = defaultdict(int)
     for r in got:
-        assert 0 <= r["taken"] <= 3 * r["size"]
-        by_size[r["source_size"], round(r["target"], 6)][0] += r["taken"]
-    assert {k: v[0] for k, v in by_size.items()} == {(size[s], round(t, 6)): round(t) for s, t in want.items()}
+        by[r["source_size"], round(r["target"], 6)] += r["taken"]
+    block = max(1, -(-sum(n for n, _ in sources.values()) // slots))
+    assert all(abs(by[n, round(t, 6)] - t) <= 4 * block for n, t in sources.values())
     assert mixing.mix_documents(spark, no_docs).count() == 0
 
 
+def test_the_points_decide_the_mix(spark, odd_docs, monkeypatch):
+    _, wide, rows = odd_docs
+    plain = [(d, t, s) for d, t, _, s, _ in rows]
+    golden = told(mixing.mix_documents(spark, wide).select("doc_id", "taken").collect())
+    for other in (0.5, 0.137):
+        monkeypatch.setattr(mixing, "GOLDEN", other)
+        got = mixing.mix_documents(spark, wide).collect()
+        want, _ = brute_mix(plain, mixing.SLOTS, other)
+        assert sorted(str((r["doc_id"], r["taken"])) for r in got) == sorted(str((d, w[0])) for (d, _, _), w in zip(plain, want, strict=True))
+        assert told([(r["doc_id"], r["taken"]) for r in got]) != golden
+
+
+def test_repeated_ids_of_unlike_size_do_not_show_the_layout(spark):
+    rows = [(None if i % 3 else 7, "w " * (1 + i % 11) + f"x{i % 13}", "a" if i % 2 else "b") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    a, b = (told(mixing.mix_documents(spark, x).collect()) for x in (docs.repartition(1), docs.repartition(7)))
+    assert a == b
+
+
 def test_small_sources_are_capped(spark):
     rows = [(i, " ".join(["w"] * n), None, s, None) for i, (s, n) in enumerate([("a", 2), ("b", 500), ("c", 500), ("d", 0), (None, 3)])]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").selectExpr("*", "1 as row", "2 as c0", "3 as slot", "4 as part", "5 as slots")
     got = {r["doc_id"]: r for r in mixing.mix_documents(spark, docs).collect()}
     want = brute_targets({"a": 2, "b": 500, "c": 500, "d": 0, None: 3})
     for r in rows:
-        assert abs(got[r[0]]["target"] - want[r[3]]) < 1e-6 and abs(got[r[0]]["taken"] - want[r[3]]) <= 0.5
+        assert abs(got[r[0]]["target"] - want[r[3]]) < 1e-6 and abs(got[r[0]]["taken"] - want[r[3]]) <= 2
     mixed = mixing.mixed_documents(spark, docs)
     assert mixed.columns == docs.columns
-    assert mixed.where("doc_id = 0").count() == 3
+    times = Counter(r["doc_id"] for r in mixed.collect())
+    assert times == {d: n for d, r in got.items() if r["size"] and (n := int(r["taken"] / r["size"] + 0.5))}
+    assert mixing.mixed_documents(spark, docs.limit(0)).count() == 0
+
+
+def test_files_of_the_mix_are_in_slot_order(spark):
+    rows = [(i, f"w{i} " * 20, f"s{i % 3}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    from pyspark.sql import functions as F
+
+    known = {r["doc_id"]: r for r in mixing.mixed(spark, mixing._rows(docs, F.monotonically_increasing_id())).collect()}
+    parts = mixing.mixed_documents(spark, docs).rdd.glom().collect()
+    times = Counter(r["doc_id"] for part in parts for r in part)
+    once = {d: (k["slots"] or [k["first_slot"]])[0] for d, k in known.items() if times[d] == 1}
+    assert len(once) > 50
+    for part in parts:
+        slots = [once[r["doc_id"]] for r in part if r["doc_id"] in once]
+        assert slots == sorted(slots)
