@@ -19,35 +19,81 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TRAIN_ROWS, FEATURES, CACHE = 20_000, 1500, 300_000
+from sieveline.llm.common import dropped, written
+from sieveline.llm.tokens import Bounded
+
+TRAIN_ROWS, FEATURES = 20_000, 1500
 #: Codes: 0 anything that is no letter, 1-26 a-z, 27 other letters. ORDER letters make a gram.
-SIZE, ORDER, BEAM = 28, 4, 32
+SIZE, ORDER = 28, 4
 #: What a look-alike character may stand for; separators that may stand for nothing.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "tl", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 SEPARATORS = " .-_*~'·•/\\,"
 #: Costs in nats of reading a look-alike as a letter, of dropping a repeated letter or a separator, of keeping a character as no letter.
 SWAP, DROP, KEEP = 0.5, 0.3, 4.0
-EDGES = re.compile(r"^[^\w@$!|]+|(?:[^\w@$]|[@$]{3,})+$|^[!|]+(?=\W|$)")
-SIGNS = re.compile(r"[a-z][\W\d_]+[a-z]|[0-9@$!|+(€£¡][\W\d_]*[a-z]|[a-z][\W\d_]*[0-9@$|+(€£¡]|([^\W\d_])\1")
+#: Marks around a plain word; a letter twice in a row; a run of what is no letter, and what in it may stand for a letter before and behind one.
+AROUND = ".,;:?!\"'()[]{}<>%&#*-_"
+TWICE = re.compile(r"([^\W\d_])\1")
+OTHER = re.compile(r"[\W\d_]+")
+BEFORE, BEHIND = re.compile(r"[0-9@$!|+(€£¡]"), re.compile(r"[0-9@$|+(€£¡]")
+
+
+def core(word: str) -> str:
+    """The word without marks at its ends that cannot stand for letters; @ and $ at the end go if three or more stand together. One step a character."""
+    a, z = 0, len(word)
+    word_like = lambda c: c.isalnum() or c == "_"
+    while a < z and not word_like(word[a]) and word[a] not in "@$!|":
+        a += 1
+    while z > a and not word_like(word[z - 1]):
+        if word[z - 1] not in "@$":
+            z -= 1
+            continue
+        k = z
+        while k > a and word[k - 1] in "@$":
+            k -= 1
+        if z - k < 3:
+            break
+        z = k
+    k = a
+    while k < z and word[k] in "!|":
+        k += 1
+    return word[k if k > a and (k == z or not word_like(word[k])) else a : z]
+
+
+def disguised(w: str) -> bool:
+    """Whether a lower-case word has a sign of disguise: a doubled letter, or characters beside letters that may stand for some or for nothing."""
+    if TWICE.search(w):
+        return True
+    for m in OTHER.finditer(w):
+        before, after = "a" <= w[m.start() - 1 : m.start()] <= "z", "a" <= w[m.end() : m.end() + 1] <= "z"
+        if before and after or after and BEFORE.search(w, *m.span()) or before and BEHIND.search(w, *m.span()):
+            return True
+    return False
 
 
 def code(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
 
 
-_BYTES = np.array([b - 96 if 97 <= b <= 122 else 27 if b >= 0xC3 else 0 for b in range(256)], np.int32)
+_codes: list[np.ndarray] = []
+
+
+def codes() -> np.ndarray:
+    """code() of every character, as a table; made once in each worker."""
+    if not _codes:
+        _codes.append(np.fromiter(map(code, map(chr, range(0x110000))), np.int32, 0x110000))
+    return _codes[0]
 
 
 def count_grams(texts: list[str]) -> np.ndarray:
     """Counts of all ORDER-grams of codes in these texts, lower-cased."""
-    raw = np.frombuffer("\0".join(["", *texts, ""]).lower().encode("utf-8", "surrogatepass"), np.uint8)
-    c = _BYTES[raw[(raw < 0x80) | (raw >= 0xC3)]]
+    c = codes()[np.frombuffer("\0".join(["", *texts, ""]).lower().encode("utf-32-le", "surrogatepass"), "<u4")]
     if len(c) < ORDER:
         return np.zeros(SIZE**ORDER, np.int64)
     return np.bincount(((c[:-3] * SIZE + c[1:-2]) * SIZE + c[2:-1]) * SIZE + c[3:], minlength=SIZE**ORDER)
@@ -86,60 +132,72 @@ def model(counts: np.ndarray) -> np.ndarray:
     return -np.log(p).reshape(-1).astype(np.float32)
 
 
-def arcs(c: str, before: str, after: str) -> list[tuple[str, float]]:
-    """What one character of the lattice may be read as: (letter, ' ' or nothing, cost)."""
+@lru_cache(maxsize=10_000)
+def readings(c: str, again: bool, inside: bool) -> tuple[tuple[str, int, float], ...]:
+    """What one character of the lattice may be read as: (letter, ' ' or nothing; its code, or -1; cost). again: it repeats the one before; inside: it stands between others."""
     if c in LOOKALIKES:
-        return [*((x, SWAP) for x in LOOKALIKES[c]), (" ", KEEP)]
-    if c in SEPARATORS:
-        return [("", DROP if before and after else 0.0), (" ", DROP)]
-    if not c.isalpha():
-        return [("", DROP * 4), (" ", KEEP)]
-    return [(c, 0.0), ("", DROP)] if c == before else [(c, 0.0)]
-
-
-def viterbi(segment: str, cost: list[float] | np.ndarray) -> str:
-    """The likeliest reading of a lower-case segment; states are the last three codes, at most BEAM of them are followed."""
-    states = {0: (0.0, "")}
+        out = [*((x, SWAP) for x in LOOKALIKES[c]), (" ", KEEP)]
+    elif c in SEPARATORS:
+        out = [("", DROP if inside else 0.0), (" ", DROP)]
+    elif not c.isalpha():
+        out = [("", DROP * 4), (" ", KEEP)]
+    else:
+        out = [(c, 0.0), ("", DROP)] if again else [(c, 0.0)]
+    return tuple((x, code(x) if x else -1, price) for x, price in out)
+
+
+def viterbi(segment: str, cost: list[float]) -> str:
+    """The likeliest reading of a lower-case segment. States are the last three codes read, and all that arise are followed; a path is a chain of
+    (letter, path before), so time and memory grow with the segment's length."""
+    states: dict[int, tuple] = {0: (0.0, None)}
+    before, last = "", len(segment) - 1
     for i, c in enumerate(segment):
-        new: dict[int, tuple[float, str]] = {}
-        for out, price in arcs(c, segment[i - 1] if i else "", segment[i + 1 : i + 2]):
-            k = code(out) if out else -1
-            for s, (total, text) in states.items():
-                if k < 0:
-                    t, z, x = s, total + price, text
-                elif out == " " and s % SIZE == 0:
-                    t, z, x = s, total + price, text
+        options = readings(c, c == before, 0 < i < last)
+        before = c
+        new: dict[int, tuple] = {}
+        for out, k, price in options:
+            for s, (total, path) in states.items():
+                if k < 0 or k == 0 and s % SIZE == 0 and out == " ":
+                    t, z = s, total + price
                 else:
                     t = s * SIZE + k
-                    z, t, x = total + price + float(cost[t]), t % SIZE**3, text + out
+                    z, t, path = total + price + cost[t], t % SIZE**3, (out, path)
                 if t not in new or z < new[t][0]:
-                    new[t] = (z, x)
-        states = new if len(new) <= BEAM else dict(sorted(new.items(), key=lambda kv: kv[1][0])[:BEAM])
-    return min(((z + float(cost[s * SIZE]), x) for s, (z, x) in states.items()), default=(0.0, ""))[1].strip()
+                    new[t] = (z, path)
+        states = new
+    path = min(((z + cost[s * SIZE], s) for s, (z, _) in states.items()))[1]
+    path, out = states[path][1], []
+    while path:
+        out.append(path[0])
+        path = path[1]
+    return "".join(reversed(out)).strip()
 
 
-class Reader(dict):
+class Reader(Bounded):
     """word -> features of its restored form; a bounded memory of words."""
 
     def __init__(self, cost: np.ndarray, only: dict[str, int] | None = None):
         super().__init__()
-        self.cost, self.only = cost, only
+        self.cost, self.only = cost.tolist(), only
+        # a word whose first letters begin no feature has none
+        self.starts = None if only is None else {f.removesuffix("$")[:4] for f in only}
 
     def restore(self, word: str) -> str:
-        w = EDGES.sub("", word.lower())
-        return viterbi(w, self.cost) if SIGNS.search(w) else w
+        w = core(word.lower())
+        return viterbi(w, self.cost) if disguised(w) else w
 
     def __missing__(self, word: str) -> tuple:
+        plain = word.strip(AROUND)
+        if (w := plain.lower()).isalpha() and not TWICE.search(w):
+            parts = (w,)  # nothing to restore
+        else:
+            parts = [w.strip(AROUND) for w in self.restore(word).split()]
         out: set = set()
-        for w in self.restore(word).split():
-            w = w.strip(".,;:?!\"'()[]{}<>%&#*-_")
-            out.update([w + "$", *(w[:n] for n in (4, 5, 6, 7, 8) if len(w) > n)])
-        out.discard("$")
+        for w in parts:
+            if w and (self.starts is None or w[:4] in self.starts):
+                out.update([w + "$", *(w[:n] for n in (4, 5, 6, 7, 8) if len(w) > n)])
         got = tuple(out) if self.only is None else tuple(self.only[f] for f in out if f in self.only)
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = got
-        return got
+        return self.keep(word, got, sum(map(len, got)) + 60 * len(got) if self.only is None else 8 * len(got))
 
     def features(self, text: str | None) -> set:
         """Features of a whole text: of its words, and of runs of single characters, alone if three or more and with the words at their sides, read as one segment."""
@@ -200,6 +258,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
     share = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) < int(min(1.0, rows / max(1, n)) * (1 << 30))
     # about `rows` rows of two numbers: small enough to send to every task
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known.where(share)), "doc_id").select("text", "toxic")
+    sample = written(spark, sample, "labelled")
     sent = sc.broadcast(cost)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,6 +285,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
 
     # whole groups of equal rows travel as one with their number
     got = sample.mapInArrow(hold, "toxic int, at array<int>").groupBy("toxic", "at").count().orderBy("toxic", "at").collect()
+    dropped(spark, sample)
     data = [(np.array(r["at"], int), int(r["toxic"] > 0)) for r in got for _ in range(r["count"])]
     # a feature that all but never stands outside label 1 also is an example by itself, so that one such word is enough
     for r in kept:

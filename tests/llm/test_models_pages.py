@@ -60,11 +60,11 @@ def test_viterbi_finds_the_best_path():
     import itertools
 
     cost = toxicity.model(toxicity.count_grams(["the idiot and the moron told it all to him"] * 50))
-    for seg in ("1d10t", "m0r-n", "tt00"):
+    for seg in ("1d10t", "m0r-n", "tt00", "1.7|6-", "6 1 7 |", "117 61"):
         best = None
-        for path in itertools.product(*(toxicity.arcs(c, seg[i - 1] if i else "", seg[i + 1 : i + 2]) for i, c in enumerate(seg))):
+        for path in itertools.product(*(toxicity.readings(c, i > 0 and c == seg[i - 1], 0 < i < len(seg) - 1) for i, c in enumerate(seg))):
             s, total, text = 0, 0.0, ""
-            for out, price in path:
+            for out, _, price in path:
                 total += price
                 if out and not (out == " " and s % toxicity.SIZE == 0):
                     t = s * toxicity.SIZE + toxicity.code(out)
@@ -73,7 +73,29 @@ def test_viterbi_finds_the_best_path():
                     text += ""
             total += float(cost[s * toxicity.SIZE])
             best = min(best or (math.inf, ""), (total, text.strip()))
-        assert toxicity.viterbi(seg, cost) == best[1]
+        assert toxicity.viterbi(seg, cost.tolist()) == best[1]
+
+
+def test_long_words_and_runs_take_time_in_proportion():
+    import time
+
+    cost = toxicity.model(toxicity.count_grams(["the idiot and the moron told it all to him"] * 50))
+    read = toxicity.Reader(cost, {"idio": 0})
+    for text in ("1" * 20_000, "a b c d e f g h " * 20_000, "!" * 50_000 + "x", "@" * 50_000 + "x", "." * 50_000 + "x" + "." * 50_000, "1a" * 20_000, "1." * 20_000 + "x"):
+        began = time.process_time()
+        read.features(text)
+        assert time.process_time() - began < 3
+
+
+def test_marks_at_the_ends_of_words_go():
+    for word, plain in (("(scum).", "scum"), ("!!scum!!", "!!scum"), ("$cum$$$", "$cum"), ("a$$", "a$$"), ("||.x", ".x"), ("@@@", ""), ("", ""), ("!!", "")):
+        assert toxicity.core(word) == plain
+
+
+def test_codes_are_the_same_in_counts_and_lattices():
+    assert all(toxicity.codes()[ord(c)] == toxicity.code(c) for c in "a z é ß — “ 😀 語 1 _".split())
+    at = toxicity.count_grams(["é—x"])
+    assert at[((27 * toxicity.SIZE) + 0) * toxicity.SIZE**2 + 24 * toxicity.SIZE] == 1
 
 
 N_CLASSES = attention.GROUPS * attention.MEMBERS
