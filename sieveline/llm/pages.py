@@ -1,18 +1,20 @@
 """Main-text extraction by tree scoring.
 
 The html becomes a tree. Each paragraph gives points for its length and commas, whole to its
-parent and by half to its grandparent; a container's points are discounted by the share of its
-text that stands in links. The best container is kept with those siblings that look like the same text. Parts that
-are never text (scripts, menus, forms, notices, adverts, comments of readers...) are cut before.
+parent, by half to its grandparent and so on; within an article or main they reach that element whole. A container's points are
+discounted by the share of its text that stands in links. The best container is kept with those siblings that look like the same text;
+of equal ones the first in the page. Parts that are never text (scripts, menus, notices, adverts, comments of readers...) are cut before;
+a form is cut unless it holds more than half of the page's text, as where a page is wrapped in one.
 
 Null and empty html gives an empty text, as does a page without any block of text. Unclosed and stray tags are
-tolerated as browsers do. Nothing is dropped or cut by length. Repeated rows are each extracted.
+tolerated as browsers do. Nothing is dropped or cut by length, and time grows with the length. Repeated rows are each extracted.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 #: Elements without content, elements whose content is no markup, elements never part of the text, blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
-NEVER = RAW | frozenset("nav header footer aside form button select option input label fieldset dialog menu svg math canvas audio video object map head datalist".split())
+NEVER = RAW | frozenset("nav header footer aside button select option input label fieldset dialog menu svg math canvas audio video object map head datalist".split())
 BLOCK = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul aside".split())
 PARAGRAPH = frozenset("p pre blockquote td li dd dt h1 h2 h3 h4 h5 h6 figcaption div section".split())
 #: An open p ends where one of these begins.
@@ -37,92 +39,104 @@ OUTSIDE = re.compile(
 INSIDE = re.compile(r"article|content|entry|post|story|text|body|main|page|column|hentry", re.I)
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar form".split())
 
-TAG = re.compile(r"<(?:!--(.*?)(?:-->|--!>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|[!?][^>]*>|/[^A-Za-z>][^>]*>)", re.S)
+TAG = re.compile(r"<(?:!--(.*?)(?:-->|--!>|\Z)|(/?)([A-Za-z][^\s/><]*+)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|[!?][^>]*+(?:>|\Z)|/[^A-Za-z>][^>]*+(?:>|\Z))", re.S)
+#: A stray end of these does not reach beyond those.
+INLINE, CELL = frozenset("p b i span a em strong".split()), ("td", "th", "table", "li")
 ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "names", "cut", "outside", "points", "size", "linked")
+    __slots__ = ("tag", "parent", "kids", "names", "cut", "outside", "points", "size", "linked", "whole")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.kids, self.names = tag, parent, [], ""
         self.points, self.size, self.linked = 0.0, 0, 0
-        self.cut, self.outside = tag in NEVER, False
+        self.cut, self.outside, self.whole = tag in NEVER, tag == "form", False
         if attributes and not self.cut:
             a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
             self.names = f"{a.get('class', '')} {a.get('id', '')}".strip()
             hidden = "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-            self.outside = bool(self.names and tag not in ("html", "body", "article", "main") and OUTSIDE.search(self.names))
+            self.outside = tag == "form" or bool(self.names and tag not in ("html", "body", "article", "main") and OUTSIDE.search(self.names))
             self.cut = hidden or a.get("role", "").lower() in ROLES
 
 
+class Open:
+    """The open elements, and where those of each tag stand among them."""
+
+    def __init__(self, root: Node):
+        self.stack, self.of = [root], {}
+        self.cut_at = 0  # place of the outermost element that is cut, or 0
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element of these tags, or 0."""
+        return max((self.of[t][-1] for t in tags if self.of.get(t)), default=0)
+
+    def first_beyond(self, tags, place: int) -> int:
+        """Place of the outermost open element of these tags within the one at that place, or 0."""
+        return min((of[i] for t in tags if (of := self.of.get(t)) and (i := bisect_right(of, place)) < len(of)), default=0)
+
+    def push(self, node: Node) -> None:
+        self.of.setdefault(node.tag, []).append(len(self.stack))
+        if node.cut and not self.cut_at:
+            self.cut_at = len(self.stack)
+        self.stack.append(node)
+
+    def close(self, place: int) -> None:
+        """Close the element at this place and all within it."""
+        while len(self.stack) > place:
+            self.of[self.stack.pop().tag].pop()
+        if self.cut_at >= place:
+            self.cut_at = 0
+
+
 def parse(html: str) -> Node:
     """Tree of nodes; kids are nodes and strings. What is cut has no kids."""
-    root = at = Node("#root", None)
-    pos, n = 0, len(html)
-    dead = 0  # open elements inside a part that is cut, itself included
+    root = Node("#root", None)
+    now, pos, n = Open(root), 0, len(html)
+    endless: set[str] = set()  # elements of RAW that have no end from here on
     while pos < n:
         m = TAG.search(html, pos)
+        upto = m.start() if m else n
+        if upto > pos and not now.cut_at:
+            now.stack[-1].kids.append(html[pos:upto])
         if not m:
-            if not dead:
-                at.kids.append(html[pos:])
             break
-        if m.start() > pos and not dead:
-            at.kids.append(html[pos : m.start()])
         pos = m.end()
         if not m[3]:
             continue
         tag = m[3].lower()
         if m[2]:
-            up = at
-            while up is not root and up.tag != tag and not (up.tag in ("td", "th", "table", "li") and tag in ("p", "b", "i", "span", "a", "em", "strong")):
-                up = up.parent
-            if up is not root and up.tag == tag:
-                while True:
-                    done, at = at, at.parent
-                    dead -= bool(dead)
-                    if done is up:
-                        break
+            place = now.last((tag,))
+            if place and not (tag in INLINE and now.last(CELL) > place):
+                now.close(place)
             continue
         if tag in CLOSES or tag in ENDS_P:
             these, within = CLOSES.get(tag, ({"p"}, set()))
             if tag in ENDS_P:
                 these, within = these | {"p"}, within | {"td", "th", "button", "article", "div", "section", "body", "blockquote", "li"}
-            up, found = at, None
-            while up is not root and up.tag not in within:
-                if up.tag in these:
-                    found = up
-                up = up.parent
-            if found:
-                while True:
-                    done, at = at, at.parent
-                    dead -= bool(dead)
-                    if done is found:
-                        break
+            if place := now.first_beyond(these, now.last(within)):
+                now.close(place)
         if tag in RAW:
-            end = re.compile(rf"</{tag}[\s/>]", re.I).search(html, pos)
+            end = None if tag in endless else re.compile(rf"</{tag}[\s/>]", re.I).search(html, pos)
             if end is None:
+                endless.add(tag)
                 pos = n if tag in ("script", "style", "textarea", "title", "xmp") else pos
             else:
                 close = html.find(">", end.start())
                 pos = n if close < 0 else close + 1
             continue
-        node = Node(tag, at, m[4])
-        if tag in VOID or m[4].rstrip().endswith("/") and tag in ("path", "rect", "circle"):
-            if not dead:
-                at.kids.append(node)
-            continue
-        if not dead:
-            at.kids.append(node)
-        dead = dead + 1 if dead or node.cut else 0
-        at = node
+        node = Node(tag, now.stack[-1], m[4])
+        if not now.cut_at:
+            now.stack[-1].kids.append(node)
+        if tag not in VOID and not (m[4].rstrip().endswith("/") and tag in ("path", "rect", "circle")):
+            now.push(node)
     return root
 
 
 def cut_outside(root: Node) -> None:
     """Cut parts by names that mark them outside the text, but not those that hold an article or main without such a name, nor
-    those with more than half of the page's text if they hold an article or a name speaks for them as well."""
+    those with more than half of the page's text if they hold an article, are a form, or a name speaks for them as well."""
     order, todo = [], [root]
     while todo:
         x = todo.pop()
@@ -141,7 +155,7 @@ def cut_outside(root: Node) -> None:
                 if k in plain or k.tag in ("article", "main") and not OUTSIDE.search(k.names):
                     plain.add(x)
         if x.outside and x not in plain:
-            if x in some or INSIDE.search(OUTSIDE.sub(" ", x.names)):
+            if x in some or x.tag == "form" or INSIDE.search(OUTSIDE.sub(" ", x.names)):
                 open_cases.append(x)
             else:
                 x.cut = True
@@ -150,33 +164,39 @@ def cut_outside(root: Node) -> None:
 
 
 def weigh(node: Node) -> None:
-    """Fill in, from the leaves up, how much text each node holds and how much of it stands in links; no recursion, for deep trees."""
+    """Fill in, from the leaves up, how much text each node holds, how much of it stands in links, and its points; no recursion, for deep trees."""
     order, todo = [], [node]
     while todo:
         x = todo.pop()
         if not x.cut:
             order.append(x)
-            todo += [k for k in x.kids if isinstance(k, Node)]
+            for k in x.kids:
+                if isinstance(k, Node):
+                    k.whole = x.whole or x.tag in ("article", "main")
+                    todo.append(k)
     for x in reversed(order):
         size = linked = own = commas = 0
         for k in x.kids:
             if isinstance(k, str):
-                own += len(k.strip())
+                n = len(k.strip())
+                size += n
+                own += n
                 commas += k.count(",")
             elif not k.cut:
                 size += k.size
                 linked += k.linked
                 if k.tag not in BLOCK:
                     own += k.size
-        x.size, x.linked = size + sum(len(k.strip()) for k in x.kids if isinstance(k, str)), linked
-        if x.tag == "a":
-            x.linked = x.size
+        x.size, x.linked = size, size if x.tag == "a" else linked
+        passed = x.points if x.whole else x.points / 2
         if x.tag in PARAGRAPH and own and x.parent is not None:
             gain = (1 + commas + min(own / 100, 3.0)) * (1 - min(1.0, x.linked / max(1, x.size)))
-            home = x.parent if x.tag not in ("div", "section") else x
-            home.points += gain
-            if home.parent is not None:
-                home.parent.points += gain / 2
+            if x.tag in ("div", "section"):
+                x.points += gain
+                gain = gain if x.whole else gain / 2
+            passed += gain
+        if x.parent is not None:
+            x.parent.points += passed
 
 
 def blocks(nodes: list[Node]) -> list[str]:
@@ -221,7 +241,7 @@ def main_text(html: str | None) -> str:
         x = todo.pop()
         if x.cut:
             continue
-        todo += [k for k in x.kids if isinstance(k, Node)]
+        todo += [k for k in reversed(x.kids) if isinstance(k, Node)]
         points = x.points * (1 - min(1.0, x.linked / max(1, x.size)))
         if points and (x.tag in ("article", "main") or x.names and INSIDE.search(x.names)):
             points *= 1.25
@@ -230,12 +250,6 @@ def main_text(html: str | None) -> str:
             best, most = x, points
     if best.parent is None or most == 0:
         return "\n".join(blocks([root]))
-    # an article is kept whole when the best container is a part of it
-    up = best.parent
-    while up is not None and up.tag not in ("article", "main"):
-        up = up.parent
-    if up is not None and best.tag != "article" and not (up.tag == "main" and sum(isinstance(k, Node) and k.tag == "article" for k in up.kids) > 1):
-        best = up
     keep = []
     for k in best.parent.kids if best.tag not in ("article", "main", "body", "html") else [best]:
         if k is best:

@@ -59,13 +59,15 @@ PATTERNS = {
     "hex": re.compile(r"[0-9a-f]{32,}"),
     "github": re.compile(r"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])"),
     "npm": re.compile(r"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])"),
-    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]{8,})\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}"),
-    "private_key": re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----([A-Za-z0-9+/=\s]{64,})-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"),
+    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]{8,}+)\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{16,}"),
+    "private_key": re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----([A-Za-z0-9+/=\s]{64,})-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----", re.A),
     "slack": re.compile(r"xox[bpas]-[0-9]{8,14}-[0-9A-Za-z-]{16,64}"),
     "google": re.compile(r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"),
     "gitlab": re.compile(r"glpat-[0-9A-Za-z_-]{20}(?![0-9A-Za-z_-])"),
     "stripe": re.compile(r"[sr]k_live_[0-9A-Za-z]{24,99}(?![0-9A-Za-z])"),
 }
+#: What a match of a kind cannot leave before its first run of these ends: after a miss, later hits in that run are misses too.
+RUNS = {"jwt": re.compile(r"[A-Za-z0-9_-]*+")}
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -113,6 +115,11 @@ def _valid(kind: str, m: re.Match) -> bool:
     return True
 
 
+def _missed(seen: str, at: int, run: re.Pattern) -> int:
+    """Where the next hit may match: a later hit of this run meets the same end and what follows it, with a shorter first part."""
+    return run.match(seen, at).end()
+
+
 _automaton: list = []
 
 
@@ -140,12 +147,16 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
         hits.setdefault(kind, set()).add(end - n + 1)
     spans = [("hex", *m.span()) for m in PATTERNS["hex"].finditer(seen)]
     for kind, starts in hits.items():
-        match, last = PATTERNS[kind].match, 0
+        match, run, last = PATTERNS[kind].match, RUNS.get(kind), 0
         for at in sorted(starts):
-            if at >= last and (m := match(seen, at)):
+            if at < last:
+                continue
+            if m := match(seen, at):
                 last = m.end()
                 if _valid(kind, m):
                     spans.append((kind, at, last))
+            elif run:
+                last = _missed(seen, at, run)
     if len(raw) != len(text):
         places, where, done = {}, 0, 0
         for p in sorted({p for s in spans for p in s[1:]}):

@@ -238,6 +238,27 @@ def test_layout_and_post_classes_do_not_cut_the_text():
     assert pages.main_text(f"<body><article><p>{text}</p></article>{comments}") == text.strip()
 
 
+def test_long_pages_take_time_in_proportion():
+    import time
+
+    n = 20_000
+    for page in ("<div>" * n + "</p>" * n, "<b>" * n + "<p>x" * n, "<noscript>" * 2 * n, "<td>" + "<p><span>" * n + "</i>" * n, "<a" * n, "<!x" * n, "</1" * n, "<div><p>a, b" * n, '<a "' * n, "<li><ul>" * n + "</li>" * n, "<!--" * n, "&amp" * n):
+        began = time.process_time()
+        pages.main_text(page)
+        assert time.process_time() - began < 2
+
+
+def test_the_scored_container_wins():
+    long = "A long sentence, of the story, that has commas, and goes on and on. " * 4
+    story = f'<div class="wrap"><div id="x"><h1>Head</h1><p>{long}</p><p>{long}</p><p>Short end.</p></div><div id="y"><p><a href=/>{long}</a></p></div></div>'
+    want = "\n".join(["Head", long.strip(), long.strip(), "Short end."])
+    assert pages.main_text(f"<body><article class=teaser><p>Read, this, too.</p></article>{story}") == want
+    assert pages.main_text(f"<body><form action=/>{story}<input><button>Go</button></form>") == want
+    assert pages.main_text(f"<body>{story}<form><p>Name, please, here.</p></form>") == want
+    # ties: the first in the page
+    assert pages.main_text(f"<body><div><section><p>{long}1</p></section></div><div><section><p>{long}2</p></section></div>").endswith("1")
+
+
 def test_pages_query(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "<p>" + "long text, " * 50_000, "y"), (3, "w", "<div>" * 3000 + "deep" + "<a " * 3000, "z")], "page_id bigint, url string, html string, text string")
     got = pages.extract_pages(df).collect()

@@ -38,6 +38,26 @@ def test_checksums_decide():
     assert secrets.redact("clean") == "clean" and secrets.redact(None) is None
 
 
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    n = 40_000
+    for text in ("eyJ" * n, "eyJ" * n + ".eyJ" * n, "eyJaaaaaaaa." * n, "password" * n, "password  " * n, "AKIA" * n, "0123456789abcdef" * n, "0123456789abcdef0123456789abcde " * n, "-----BEGIN " + "A" * n, "-----BEGIN PRIVATE KEY-----" * n, "-----BEGIN PRIVATE KEY-----" + "A" * n, "ghp_" * n, "xoxb-1234567890-" * n):
+        began = time.process_time()
+        secrets.find_spans(text)
+        assert time.process_time() - began < 2
+
+
+def test_a_token_after_a_missed_one_is_found():
+    import base64
+
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    token = f"{part(b'{"alg":"HS256"}')}.{part(b'{"sub":"12345678"}')}.{'s' * 20}"
+    for before in ("eyJeyJeyJ ", "eyJxxxxxxxxx.eyJ ", "eyJ."):
+        text = before + token
+        assert ("jwt", len(before), len(text)) in secrets.find_spans(text)
+
+
 def test_query_and_stage(spark, odd_docs, no_docs):
     docs, wide, rows = odd_docs
     got = secrets.scan_documents(wide).collect()
