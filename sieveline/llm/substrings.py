@@ -8,10 +8,11 @@ Pass one: each partition counts the anchors of its documents in a count-min sket
 sketch never estimates an anchor, and so a window, below its true count. Pass two: only windows whose anchor is estimated
 to occur twice are grouped exactly, so none is lost. Windows next to each other with one anchor travel as one
 segment: equal segments are grouped whole, and only anchors with unlike segments are compared window by
-window. Windows are compared by 64-bit hashes within equal 64-bit anchors.
+window. Segments and windows are the same if the 128-bit BLAKE2b digests of their words are.
 
 The sketch has about four cells an anchor up to MOST_CELLS a row; beyond that more windows pass to the exact grouping, which
-gives the same result. A bitmap of its cells is all that the driver sees.
+gives the same result. A bitmap of its cells is all that the driver sees. Long texts are read in pieces of about PIECE bytes that
+overlap by a window, and words beyond LONG bytes by their digest, so that memory stays a small multiple of the text.
 
 Null and empty texts have no words. Rows with a null doc_id neither lose words nor make others lose any. Rows that
 repeat a doc_id are judged each by its own text; the same id never counts as smaller.
@@ -20,6 +21,7 @@ repeat a doc_id are judged each by its own text; the same id never counts as sma
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +34,10 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import dropped, written
 
 WINDOW, SHINGLE = 50, 10
-MOST_CELLS, CELL_BLOCK, BYTES_AT_ONCE = 1 << 27, 1 << 16, 1_000_000
+MOST_CELLS, CELL_BLOCK, BYTES_AT_ONCE, PIECE = 1 << 27, 1 << 16, 1_000_000, 1_000_000
+GAP, LONG = re.compile(rb"[\x20\x09-\x0D]+"), re.compile(rb"[^\x20\x09-\x0D]{4097,}")
+#: Bytes of a digest.
+DIGEST = 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _U = np.uint64
@@ -66,9 +71,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(np.cumsum(lengths), starts, side="right")
 
 
-def segments(texts: list[bytes], window: int, shingle: int, with_windows: bool):
-    """Runs of neighbouring windows with one anchor: (text, first word within the text, number of windows, anchor, content hash, window hashes of all, offset of each run there)."""
-    h, doc = word_hashes(texts)
+def segments(texts: list[bytes], window: int, shingle: int):
+    """Runs of neighbouring windows with one anchor: (text, first word within the text, number of windows, anchor)."""
+    h, doc = word_hashes([LONG.sub(lambda m: digest(m[0]).hex().encode(), t) for t in texts])
     n = len(h) - window + 1
     if n < 1:
         return None
@@ -83,13 +88,22 @@ def segments(texts: list[bytes], window: int, shingle: int, with_windows: bool):
     if not len(a):
         return None
     stops = np.flatnonzero(good & np.concatenate([new[1:] | ~good[1:], [True]])) + 1
-    power = np.concatenate([[_U(1)], np.cumprod(np.full(len(h), _U(0xD6E8FEB86659FD93)))])
-    back = np.concatenate([[_U(1)], np.cumprod(np.full(len(h), _U(pow(0xD6E8FEB86659FD93, -1, 1 << 64))))])
-    prefix = np.concatenate([[_U(0)], np.cumsum(h * power[:-1])])
-    content = mix((prefix[stops - 1 + window] - prefix[a]) * back[a] + (stops - a).astype(_U) * _U(0x9E3779B97F4A7C15))
     firsts = np.searchsorted(doc, np.arange(len(texts)))
-    each = mix((prefix[window : window + n] - prefix[:n]) * back[:n]) if with_windows else None
-    return doc[a], a - firsts[doc[a]], stops - a, grams[anchor[a]], content, each, a
+    return doc[a], a - firsts[doc[a]], stops - a, grams[anchor[a]]
+
+
+def digest(x: bytes) -> bytes:
+    return hashlib.blake2b(x, digest_size=DIGEST).digest()
+
+
+def digests(text: bytes, firsts: list[int], counts: list[int], window: int) -> tuple[list[bytes], list[bytes]]:
+    """Of segments of a text, given by their first words and numbers of windows: the digest of all their words, and those of their windows end to end."""
+    whole = GAP.sub(b" ", text).strip(b" ")
+    starts = [0, *(m.end() for m in re.finditer(b" ", whole)), len(whole) + 1]  # of each word, and of one more behind the last
+    make = hashlib.blake2b
+    of = [make(whole[starts[a] : starts[a + k + window - 1] - 1], digest_size=DIGEST).digest() for a, k in zip(firsts, counts, strict=True)]
+    each = [b"".join([make(whole[starts[i] : starts[i + window] - 1], digest_size=DIGEST).digest() for i in range(a, a + k)]) for a, k in zip(firsts, counts, strict=True)]
+    return of, each
 
 
 def cells(anchors: np.ndarray, width: int) -> list[np.ndarray]:
@@ -97,18 +111,30 @@ def cells(anchors: np.ndarray, width: int) -> list[np.ndarray]:
     return [(mix(anchors + _U(seed)) & _U(width - 1)).astype(np.int64) for seed in (0x1234567, 0x89ABCDEF)]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], col: int) -> Iterator[tuple[pa.RecordBatch, int, list[bytes]]]:
-    """Texts of the batches as bytes, about BYTES_AT_ONCE together: (batch, number of the first row, texts)."""
+def pieces(text: bytes, window: int) -> Iterator[tuple[int, bytes]]:
+    """(words before it, piece): each window of the text lies in one piece."""
+    more = re.compile(rb"(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++){0,%d}" % (window - 1))
+    at, base = 0, 0
+    while len(text) - at > PIECE and (gap := GAP.search(text, at + PIECE)):
+        yield base, text[at : more.match(text, gap.start()).end()]
+        base += len(text[at : gap.start()].split())
+        at = gap.start()
+    yield base, text[at:]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], col: int, window: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[bytes]]]:
+    """Texts of the batches as bytes, in pieces, about BYTES_AT_ONCE together: (batch, row and words before it of each piece, pieces)."""
     for b in batches:
-        some, size, start = [], 0, 0
+        some, size = [], 0
         for i, t in enumerate(b.column(col)):
-            some.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
-            size += len(some[-1])
-            if size > BYTES_AT_ONCE:
-                yield b, start, some
-                some, size, start = [], 0, i + 1
+            for base, x in pieces((t.as_py() or "").encode("utf-8", "surrogatepass"), window):
+                some.append((i, base, x))
+                size += len(x)
+                if size > BYTES_AT_ONCE:
+                    yield b, np.array([r[0] for r in some]), np.array([r[1] for r in some]), [r[2] for r in some]
+                    some, size = [], 0
         if some:
-            yield b, start, some
+            yield b, np.array([r[0] for r in some]), np.array([r[1] for r in some]), [r[2] for r in some]
 
 
 def sketch(docs: DataFrame, width: int, window: int, shingle: int) -> np.ndarray:
@@ -117,9 +143,9 @@ def sketch(docs: DataFrame, width: int, window: int, shingle: int) -> np.ndarray
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((2, width), np.uint8)
-        for _, _, texts in _groups(batches, 0):
-            if (s := segments(texts, window, shingle, False)) is not None:
-                doc, anchors = s[0], s[3]
+        for _, row_of, _, texts in _groups(batches, 0, window):
+            if (s := segments(texts, window, shingle)) is not None:
+                doc, anchors = row_of[s[0]], s[3]
                 _, once = np.unique(mix(anchors + doc.astype(_U) * _U(0x9E3779B97F4A7C15)), return_index=True)  # once a document
                 for row, at in zip(table, cells(anchors[once], width), strict=True):
                     at, n = np.unique(at, return_counts=True)
@@ -130,20 +156,25 @@ def sketch(docs: DataFrame, width: int, window: int, shingle: int) -> np.ndarray
         for i in some:
             yield pa.RecordBatch.from_arrays([pa.array([int(i)]), pa.array([me]), pa.array([zlib.compress(flat[i].tobytes(), 1)])], ["block", "part", "cells"])
 
-    def merge(t: pa.Table) -> pa.Table:
-        total = np.zeros(block, np.uint8)
+    def total(t: pa.Table) -> np.ndarray:
+        out = np.zeros(block, np.uint8)
         for c in t["cells"]:
-            total = np.minimum(total + np.frombuffer(zlib.decompress(c.as_py()), np.uint8), 2)
-        return pa.table({"block": t["block"][:1], "part": t["part"][:1], "cells": pa.array([zlib.compress(total.tobytes(), 1)])})
+            out = np.minimum(out + np.frombuffer(zlib.decompress(c.as_py()), np.uint8), 2)
+        return out
+
+    def merge(t: pa.Table) -> pa.Table:
+        return pa.table({"block": t["block"][:1], "part": t["part"][:1], "cells": pa.array([zlib.compress(total(t).tobytes(), 1)])})
+
+    def last(t: pa.Table) -> pa.Table:
+        return pa.table({"block": t["block"][:1], "bits": pa.array([np.packbits(total(t) >= 2).tobytes()])})
 
     schema = "block bigint, part bigint, cells binary"
     parts = docs.select("text").mapInArrow(count, schema)
     # two levels, so that no task merges more than some hundred pieces however many partitions there are
     level = parts.withColumn("part", F.floor(F.col("part") / 128).cast("bigint")).groupBy("block", "part").applyInArrow(merge, schema)
-    got = level.groupBy("block").applyInArrow(merge, schema)
     bits = np.zeros((2 * width // block, block // 8), np.uint8)
-    for r in got.select("block", "cells").toLocalIterator():
-        bits[r[0]] = np.packbits(np.frombuffer(zlib.decompress(bytes(r[1])), np.uint8) >= 2)
+    for r in level.groupBy("block").applyInArrow(last, "block bigint, bits binary").collect():  # MOST_CELLS / 4 bytes at most
+        bits[r[0]] = np.frombuffer(r[1], np.uint8)
     return bits.reshape(2, -1)
 
 
@@ -165,24 +196,28 @@ def deduplicate(spark: SparkSession, docs: DataFrame, window: int = WINDOW, shin
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
-        for b, start, group in _groups(batches, 2):
-            if (s := segments(group, window, shingle, True)) is None:
+        for b, row_of, before, texts in _groups(batches, 2, window):
+            if (s := segments(texts, window, shingle)) is None:
                 continue
-            doc, first, k, anchors, content, each, at = s
+            doc, first, k, anchors = s
             pick = np.flatnonzero(_repeated(bits, anchors, width))
             if not len(pick):
                 continue
-            where = pa.array(doc[pick] + start)
-            ends = np.cumsum(k[pick])
-            flat = np.repeat(at[pick] - (ends - k[pick]), k[pick]) + np.arange(ends[-1])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(each[flat].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(where), b.column(1).take(where), *(pa.array(x[pick].view(np.int64)) for x in (anchors, content)), pa.array(first[pick].astype(np.int32)), pa.array(k[pick].astype(np.int32)), lists], ["doc_id", "th", "a", "s", "start", "k", "w"])
-
-    found = written(spark, some.select("doc_id", "th", "text").mapInArrow(candidates, "doc_id bigint, th bigint, a bigint, s bigint, start int, k int, w array<bigint>"), "segments")
+            of, each = [], []
+            cuts = np.flatnonzero(np.diff(doc[pick], prepend=-1))
+            for a, z in zip(cuts, [*cuts[1:], len(pick)], strict=True):
+                got = digests(texts[doc[pick[a]]], first[pick[a:z]].tolist(), k[pick[a:z]].tolist(), window)
+                of += got[0]
+                each += got[1]
+            where = pa.array(row_of[doc[pick]])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(where), b.column(1).take(where), pa.array(anchors[pick].view(np.int64)), pa.array(of, pa.binary()), pa.array((first + before[doc])[pick].astype(np.int32)), pa.array(k[pick].astype(np.int32)), pa.array(each, pa.binary())], ["doc_id", "th", "a", "s", "start", "k", "w"])
+
+    found = written(spark, some.select("doc_id", "th", "text").mapInArrow(candidates, "doc_id bigint, th bigint, a bigint, s binary, start int, k int, w binary"), "segments")
     kinds = written(spark, found.groupBy("a", "s").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("w").alias("w")), "kinds")
     anchors = written(spark, kinds.groupBy("a").agg(F.min("first").alias("lo"), F.max("last").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("a", "n"), "anchors")
     shared = kinds.join(anchors, "a")
-    unlike = written(spark, shared.where("n > 1").select("a", "s", "first", F.posexplode("w").alias("i", "win")), "unlike")
+    each_window = F.transform(F.sequence(F.lit(0), F.floor(F.octet_length("w") / DIGEST).cast("int") - 1), lambda i: F.substring("w", i * DIGEST + 1, F.lit(DIGEST)))
+    unlike = written(spark, shared.where("n > 1").select("a", "s", "first", F.posexplode(each_window).alias("i", "win")), "unlike")
     least = written(spark, unlike.groupBy("a", "win").agg(F.min("first").alias("least")), "least")
     by_window = unlike.join(least, ["a", "win"]).groupBy("a", "s").agg(F.collect_list(F.struct("i", "least")).alias("each"))
     whole = shared.where("n = 1 and first < last").select("a", "s", F.lit(None).cast("array<struct<i:int,least:bigint>>").alias("each"), "first")
@@ -200,15 +235,15 @@ def deduplicate(spark: SparkSession, docs: DataFrame, window: int = WINDOW, shin
         for b in batches:
             out: list[list] = [[] for _ in names[1:]]
             for t, spans in zip(b.column(1), b.column(2), strict=True):
-                ws = (t.as_py() or "").encode("utf-8", "surrogatepass").split()
-                n = len(ws)
+                kept = GAP.sub(b" ", (t.as_py() or "").encode("utf-8", "surrogatepass")).strip(b" ")
+                n, left = (kept.count(b" ") + 1 if kept else 0), None
                 if spans.is_valid:
                     gone = np.zeros(n, bool)
                     for f, to in zip(*(spans.values.field(x).to_pylist() for x in ("f", "t")), strict=True):
                         gone[f : to + window] = True
-                    ws = [w for w, g in zip(ws, gone.tolist(), strict=True) if not g]
-                kept = b" ".join(ws)
-                for col, x in zip(out, (n, n - len(ws), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "surrogatepass")] * texts)), strict=True):
+                    ws = [w for w, g in zip(kept.split(b" "), gone.tolist(), strict=True) if not g]
+                    kept, left = b" ".join(ws), len(ws)
+                for col, x in zip(out, (n, 0 if left is None else n - left, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "surrogatepass")] * texts)), strict=True):
                     col.append(x)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=False))], names)

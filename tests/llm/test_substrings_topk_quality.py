@@ -52,6 +52,22 @@ def test_substrings_with_a_crowded_sketch_lose_nothing(spark):
         assert told(substrings.deduplicate(spark, df, window=12, shingle=4, width=width)) == brute_removed(rows, 12)
 
 
+def test_texts_in_pieces(spark, monkeypatch):
+    r = random.Random(3)
+    long = "  " + " \n".join(r.choice("abcdefgh") * r.randrange(1, 4) for _ in range(3000)) + " " + "x" * 9000 + " end"
+    for text in (long, long.strip(), "x" * 50_000, ""):
+        monkeypatch.setattr(substrings, "PIECE", 700)
+        got = list(substrings.pieces(text.encode(), 12))
+        ws = text.encode().split()
+        windows = {(base + i, tuple(x.split()[i : i + 12])) for base, x in got for i in range(len(x.split()) - 11)}
+        assert windows == {(i, tuple(ws[i : i + 12])) for i in range(len(ws) - 11)} and sum(len(x.split()) - 11 for _, x in got if len(x.split()) > 11) == max(0, len(ws) - 11)
+    monkeypatch.undo()
+    rows = [(2, long), (1, "start " + long[3000:9000]), (3, long[500:]), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = told(substrings.deduplicate(spark, df, window=12, shingle=4))
+    assert want == brute_removed(rows, 12)
+
+
 def test_topk_against_brute_force(spark):
     r = np.random.default_rng(7)
     vecs = [(i, r.normal(0, 0.3, 6).tolist()) for i in range(900)]
