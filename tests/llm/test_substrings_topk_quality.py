@@ -84,6 +84,31 @@ def test_topk_against_brute_force(spark):
     assert topk.exact_topk(spark, df.limit(0)).count() == 0
 
 
+def test_the_layout_lets_blocks_be_passed_over(spark):
+    r = np.random.default_rng(11)
+    centres = np.sign(r.normal(size=(20, 16)))
+    m = np.vstack([c + r.normal(0, 0.1, (60, 16)) for c in centres])[r.permutation(1200)]
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(m)], "vec_id bigint, embedding array<double>")
+    rows = topk.quantized(df, "vec_id", "embedding", 1024)
+    placed = topk.laid_out(spark, rows, 16).collect()
+    ids, v, place = (np.array([x[c] for x in placed]) for c in ("vec_id", "v", "place"))
+    assert sorted(ids) == list(range(1200))
+    blocks = topk.blocks_of(ids, v, place)
+    assert sum(len(b[0]) for b in blocks) == 1200
+    top = topk.empty_top(12, 10)
+    assert topk.pruned_topk(np.arange(0, 1200, 100), v[np.argsort(ids)][::100], blocks, top) < 0.5 * 12 * len(blocks)
+
+
+def test_topk_in_batches_with_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BATCH", 3)
+    r = np.random.default_rng(12)
+    df = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(1000)], "vec_id bigint, embedding array<double>")
+    wide = df.selectExpr("*", "1 as place", "2 as v", "3 as score", "4 as query_id", "5 as rank", "6 as label")
+    got = sorted(map(tuple, topk.exact_topk(spark, wide).collect()))
+    monkeypatch.undo()
+    assert got == sorted(map(tuple, topk.exact_topk(spark, df).collect())) and len(got) == 100
+
+
 def test_blocks_are_passed_over():
     r = np.random.default_rng(8)
     blocks = [(np.arange(i * 50, i * 50 + 50), np.floor(r.normal(20 * (i == 3), 1, (50, 4)) * 100)) for i in range(20)]
