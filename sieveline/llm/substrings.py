@@ -8,7 +8,7 @@ Pass one: each partition counts the anchors of its documents in a count-min sket
 sketch never estimates an anchor, and so a window, below its true count. Pass two: only windows whose anchor is estimated
 to occur twice are grouped exactly, so none is lost. Windows next to each other with one anchor travel as one
 segment: equal segments are grouped whole, and only anchors with unlike segments are compared window by
-window. Windows are the same if both their anchors and the first 96 bits of the XXH128 of their words are; segments likewise.
+window. Windows are the same if both their anchors and the first 80 bits of the XXH128 of their words are; segments likewise.
 
 The sketch has about four cells an anchor up to MOST_CELLS a row; beyond that more windows pass to the exact grouping, which
 gives the same result. A bitmap of its cells is all that the driver sees. Long texts are read in pieces of about PIECE bytes that
@@ -38,7 +38,7 @@ WINDOW, SHINGLE = 50, 10
 MOST_CELLS, CELL_BLOCK, BYTES_AT_ONCE, PIECE = 1 << 27, 1 << 16, 1_000_000, 1_000_000
 GAP, LONG = re.compile(rb"[\x20\x09-\x0D]+"), re.compile(rb"[^\x20\x09-\x0D]{4097,}")
 #: Bytes of a digest.
-DIGEST = 12
+DIGEST = 10
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _U = np.uint64
