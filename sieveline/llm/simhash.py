@@ -145,35 +145,51 @@ def links(spark: SparkSession, fps: DataFrame, radius: int = 4, limit: int = LIM
     return edges
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable over links), and the columns named in keep."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable over links)."""
+    return with_components(spark, _prints(spark, docs, shingle, id_col, text_col), radius)
+
+
+def _prints(spark: SparkSession, docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, th, fp) of every row; th is a hash of the text."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f)], ["doc_id", "fp"])
+            f = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f)], ["doc_id", "th", "fp"])
+
+    text = docs[text_col].cast("string")
+    return written(spark, docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(prints, "doc_id bigint, th bigint, fp bigint"), "fingerprints")
+
 
-    made = written(spark, docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(prints, "doc_id bigint, fp bigint"), "fingerprints")
-    return with_components(spark, made, radius)
+def _labels(spark: SparkSession, nodes: DataFrame, radius: int) -> DataFrame:
+    """nodes(fp) -> (fp, label) of those with a link, label the same throughout a component."""
+    return connected_components(spark, links(spark, nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
 
 
 def with_components(spark: SparkSession, made: DataFrame, radius: int = 4) -> DataFrame:
     """(doc_id, fp) -> doc_id, fingerprint, component_id."""
     nodes = written(spark, made.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    labels = connected_components(spark, links(spark, nodes.select("fp"), radius))
-    linked = written(spark, labels.join(nodes, labels["node"] == nodes["fp"]).select("fp", "label", "first"), "linked")
+    linked = written(spark, _labels(spark, nodes, radius).join(nodes, "fp").select("fp", "label", "first"), "linked")
     least = linked.groupBy("label").agg(F.min("first").alias("least"))
     by_fp = nodes.join(linked.join(least, "label").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     return made.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, radius: int = 4) -> DataFrame:
-    """The documents of which each group of near-duplicates keeps one: the one with the least doc_id (of repeated rows, one).
+    """The documents of which each group of near-duplicates keeps one: the one with the least doc_id, of rows that share it the one whose
+    text has the least hash, and of rows equal in both any one. Rows that share a doc_id but are no near-duplicates are apart.
 
     The columns of documents, no others. Rows with a null doc_id are kept.
     """
-    found = near_duplicates(spark, docs, radius=radius)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    made = _prints(spark, docs, 4, "doc_id", "text")
+    # one row a fingerprint before anything is joined, so that no group of copies is hot
+    nodes = written(spark, made.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("first")), "nodes")
+    group = nodes.join(_labels(spark, nodes, radius), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    keep = group.groupBy("label").agg(F.min("first").alias("k")).where("k is not null").select(F.col("k.doc_id").alias("keep_id"), F.col("k.th").alias("keep_th"))
     cols = docs.columns
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*cols).unionByName(docs.where("doc_id is null"))
+    plain = docs.toDF(*(f"c{i}" for i in range(len(cols))))
+    id_at, text_at = (F.col(f"c{cols.index(c)}") for c in ("doc_id", "text"))
+    plain = plain.withColumn("keep_id", id_at.cast("bigint")).withColumn("keep_th", F.xxhash64(text_at.cast("string")))
+    named = plain.where("keep_id is not null").join(keep, ["keep_id", "keep_th"], "left_semi").dropDuplicates(["keep_id", "keep_th"])
+    return named.unionByName(plain.where("keep_id is null")).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(cols)))

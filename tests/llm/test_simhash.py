@@ -94,6 +94,15 @@ def test_one_of_each_group_stays(spark, odd_docs, no_docs):
     assert simhash.deduplicated(spark, no_docs).count() == 0
 
 
+def test_rows_that_share_an_id_but_not_a_text_stay(spark):
+    a, b = ("alpha beta gamma delta epsilon zeta eta theta " * 9, "one two three four five six seven eight nine ten " * 9)
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, b), (4, "something else entirely, with words of its own"), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as keep_id", "2 as c0", "3 as label", "4 as th")
+    kept = simhash.deduplicated(spark, docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in kept.collect()) == sorted([(0, a), (1, a), (1, b), (4, rows[5][1])])
+
+
 def test_components_of_long_chains(spark):
     from sieveline.llm.components import connected_components
 
