@@ -31,10 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder name under spark.checkpoint.dir, the folder that all executors share.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made.
+    Only where that setting is absent and the session runs in one process a temporary folder is made; elsewhere its absence is an error.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _local_root:
             _local_root.append(tempfile.mkdtemp(prefix="sieveline-"))
             atexit.register(shutil.rmtree, _local_root[0], ignore_errors=True)

@@ -2,7 +2,8 @@
 
 Base statistics of each text become a vector of transformed statistics. For each pair of language and source the
 minimum-covariance-determinant estimate is found by concentration steps from two starts (medians with
-quartile ranges; plain moments): keep the share CORE of rows that lie nearest by Mahalanobis distance, estimate anew, repeat; of
+quartile ranges; plain moments): keep the share CORE of rows that lie nearest by Mahalanobis distance, estimate anew, and repeat until no
+estimate changes (each step lowers determinants, so few are needed; STEPS at most). Of
 the starts the one with the smaller determinant stays. Rows beyond CUTOFF by that estimate are rejected.
 
 Vectors are whole numbers of thousandths and their sums are whole numbers too, so reruns agree to
@@ -19,9 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import SPACE, words, written
+from sieveline.llm.common import SPACE, dropped, words, written
 
-CORE, STEPS, LEAST, CLASSES = 0.75, 3, 40, 1300
+CORE, STEPS, LEAST, CLASSES = 0.75, 20, 40, 1300
+#: Change of a log determinant below which an estimate counts as settled.
+SETTLED = 1e-6
 #: Groups whose estimates (some 30 numbers each) may be broadcast.
 SMALL = 20_000
 #: The statistics and, in thousandths, the least deviation that each is granted.
@@ -126,7 +129,12 @@ def robust_estimates(spark: SparkSession, v: DataFrame) -> DataFrame:
         cut = F.aggregate("all", start, lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.when(acc["seen"] < F.ceil(F.col("total") * CORE), x["class"]).otherwise(acc["cut"]).alias("cut")))["cut"]
         sums = sums.withColumn("cut", cut).withColumn("core", F.filter("all", lambda x: x["class"] <= F.col("cut")))
         sums = sums.select("g", "start", *(_total("core", f).alias(f) for f in fields))
-        params = written(spark, _estimate(sums), "estimate")
+        new = written(spark, _estimate(sums), "estimate")
+        moved = new.join(params.select("g", "start", F.col("logdet").alias("was")), ["g", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+        dropped(spark, params)
+        params = new
+        if not moved or moved < SETTLED:
+            break
     best = F.min_by(F.struct(*MEANS, *FACTORS), F.struct("logdet", "start"))
     return params.groupBy("g").agg(best.alias("b")).select("g", "b.*")
 

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sieveline.llm import quality, substrings, topk
 
@@ -162,6 +163,60 @@ def test_small_groups_are_judged_by_the_next_wider_pool(spark):
         assert all(g["distance"] is not None for g in got)
 
 
+def brute_vector(t):
+    import math
+
+    import regex
+
+    n, chars, symbols, _, repeats = brute_base(t)
+    t = t or ""
+    share = lambda k, usual: math.sqrt((k + usual * 150) / (chars + 150))
+    x = [math.log((chars + 150) / (n + 30)), share(symbols, 0), math.sqrt(repeats / (n + 30)), share(len(regex.findall(r"\p{Lu}", t)), 0.02), share(len(regex.findall(r"[^\p{L}\p{N}#*$%&|<>\s]", t)), 0.02)]
+    return [math.floor(v * 1000 + 0.5) for v in x]
+
+
+def brute_mcd(x):
+    """Mean and covariance of the settled core, from two starts, by the definition."""
+    floors = np.diag([float(v) ** 2 for v in quality.STATS.values()])
+    d2 = lambda m, c: ((x - m) @ np.linalg.inv(c) * (x - m)).sum(1)
+    of = lambda rows: (rows.mean(0), np.cov(rows.T, bias=True) + floors)
+    q = np.percentile(x, [25, 50, 75], axis=0)
+    found = []
+    for m, c in ((q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2) + floors), of(x)):
+        for _ in range(20):
+            k = np.minimum(quality.CLASSES, np.floor(np.log1p(d2(m, c)) * 64)).astype(int)
+            before = np.array([(k < i).sum() for i in k])
+            core = x[k <= k[before < np.ceil(len(x) * quality.CORE)].max()]
+            was, (m, c) = c, of(core)
+            if abs(np.linalg.slogdet(c)[1] - np.linalg.slogdet(was)[1]) < 2e-6:
+                break
+        found.append((np.linalg.slogdet(c)[1], m, c))
+    _, m, c = min(found, key=lambda f: f[0])
+    return lambda v: (v - m) @ np.linalg.inv(c) @ (v - m) / quality.CONSISTENCY
+
+
+def test_verdicts_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang = 'en' or source is null").select("doc_id", "text", "lang", F.lit("s").alias("source"))
+    rows = docs.orderBy("doc_id").limit(700).collect()
+    got = {g["doc_id"]: g for g in quality.judge(spark, spark.createDataFrame(rows, docs.schema)).collect()}
+    base = {r["doc_id"]: not got[r["doc_id"]]["base_failed"] for r in rows}
+    vectors = {r["doc_id"]: np.array(brute_vector(r["text"]), float) for r in rows}
+    groups = {}
+    for r in rows:
+        if base[r["doc_id"]]:
+            groups.setdefault(r["lang"], []).append(vectors[r["doc_id"]])
+    judge = {g: brute_mcd(np.array(v)) for g, v in groups.items() if len(v) >= quality.LEAST}
+    seen = 0
+    for r in rows:
+        d = r["doc_id"]
+        if r["lang"] in judge:
+            distance = judge[r["lang"]](vectors[d])
+            assert np.isclose(got[d]["distance"], distance, rtol=1e-6)
+            assert got[d]["kept"] == (base[d] and distance <= quality.CUTOFF)
+            seen += 1
+    assert seen > 300 and 0 < sum(got[d]["kept"] for d in got) < len(got)
+
+
 def test_estimates_against_numpy(spark):
     r = np.random.default_rng(10)
     x = np.vstack([r.multivariate_normal([500] * 5, np.diag([200.0**2] * 5) + 15000, 300), r.normal(5000, 30, (60, 5))]).round().astype(int)
