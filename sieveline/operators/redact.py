@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from sieveline.functions.keys import key_blocks
 from sieveline.functions.rules import Rule
@@ -33,8 +38,8 @@ def rewrite(df: DataFrame, rule: Rule, text: str, n: str) -> DataFrame:
 def redact_text(df: DataFrame, rules: list[Rule], keys: bool = True, text: str = "text", out: str = "redacted", summary: str = "summary") -> DataFrame:
     """Adds `out`, the text after all rules, and `summary`, what was done to it. A map-only step: no shuffle.
 
-    Each rule sees what the earlier ones left; its count is taken there. Filter before this, not after it: the optimizer is kept from moving a
-    filter below the rules, where it would repeat all of them once more for each step back.
+    Each rule sees what the earlier ones left; its count is taken there. Filters on the columns of df move below the rules, to the scan if they can;
+    filters on the two new columns stay above them, where the rules are not repeated.
     """
     cols = df.columns
     df = df.withColumn("__t", F.col(text))
@@ -50,12 +55,8 @@ def redact_text(df: DataFrame, rules: list[Rule], keys: bool = True, text: str =
     plain = F.struct(F.col("__t").alias("text"), *(zero.alias(x) for x in ("pairs", "orphan_begin", "orphan_end")), F.array().cast("array<int>").alias("aborted_lines"))
     df = df.withColumn("__k", key_blocks(F.col("__t")) if keys else plain)
     made = F.struct(F.col("__c").alias("counts"), *(F.col(f"__k.{x}").alias(x) for x in ("pairs", "orphan_begin", "orphan_end", "aborted_lines")))
-    return df.select(*cols, _held(F.col("__k.text")).alias(out), _held(made).alias(summary))
-
-
-def _held(c: Column) -> Column:
-    """The same value by an expression that counts as not deterministic, below which no filter is moved."""
-    return F.when(F.rand(0) < 2, c)
+    # a generator of one row: predicates on its columns stay above it, all others pass
+    return df.select(*cols, F.inline_outer(F.array(F.struct(F.col("__k.text").alias(out), made.alias(summary)))))
 
 
 def total_redactions(summary: str = "summary") -> Column:
@@ -67,44 +68,82 @@ def has_key_concern(summary: str = "summary") -> Column:
     return (F.col(f"{summary}.orphan_begin") > 0) | (F.col(f"{summary}.orphan_end") > 0) | (F.size(f"{summary}.aborted_lines") > 0)
 
 
-def merged_counts(maps: Column) -> Column:
-    """The sum by key of an array of maps."""
-    keys = F.array_distinct(F.flatten(F.transform(maps, F.map_keys)))
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.aggregate(maps, F.lit(0).cast("bigint"), lambda a, m: a + F.coalesce(F.try_element_at(m, k), F.lit(0).cast("bigint"))).alias("value"))))
-
-
-def redact_lines(df: DataFrame, rules: list[Rule], keys: bool = True, text: str = "text") -> DataFrame:
+def redact_lines(df: DataFrame, rules: list[Rule], keys: bool = True, text: str = "text", by_line: Column | None = None) -> DataFrame:
     """One row a line: the columns of df but the text, line_no (from 1), line, redacted, summary, refused.
 
-    A line that parses as JSON and would not any more is refused: it stays, and counts nothing. Blank lines stay.
+    A line that parses as JSON and would not any more is refused: it stays, and counts nothing. Blank lines stay. Where by_line is false the
+    whole text is one row without this gate. A null text is one row with a null line.
     """
     rest = [c for c in df.columns if c != text]
-    each = df.select(*rest, F.posexplode(lines(F.col(text))).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
-    done = redact_text(each, rules, keys, "line").withColumn("__n", F.when(is_blank(F.col("line")), F.lit(0)).otherwise(total_redactions()))
+    by_line = F.lit(True) if by_line is None else by_line
+    one = F.when(by_line, lines(F.col(text))).otherwise(F.array(text))
+    each = df.select(*rest, by_line.alias("__by"), F.posexplode_outer(one).alias("line_no", "line")).withColumn("line_no", F.coalesce("line_no", F.lit(0)) + 1)
+    done = redact_text(each, rules, keys, "line").withColumn("__n", F.when(F.col("__by") & is_blank(F.col("line")), F.lit(0)).otherwise(total_redactions()))
     # the gate is only asked about lines that were rewritten
-    ask = F.when(F.col("__n") > 0, F.col("line"))
-    done = done.withColumn("__was", json_ok(ask)).withColumn("__is", json_ok(F.when(F.col("__n") > 0, F.col("redacted"))))
-    done = done.withColumn("refused", (F.col("__n") > 0) & F.col("__was") & ~F.col("__is"))
+    ask = F.col("__by") & (F.col("__n") > 0)
+    done = done.withColumn("__was", json_ok(F.when(ask, F.col("line")))).withColumn("__is", json_ok(F.when(ask, F.col("redacted"))))
+    done = done.withColumn("refused", F.coalesce(ask & F.col("__was") & ~F.col("__is"), F.lit(False)))
     zero = F.lit(0).cast("bigint")
-    silent = F.col("refused") | is_blank(F.col("line"))
+    silent = F.col("refused") | F.col("__by") & is_blank(F.col("line")) | F.col("line").isNull()
+    aborted = F.when(F.col("__by") & (F.size("summary.aborted_lines") > 0), F.array("line_no")).otherwise(F.col("summary.aborted_lines"))
     fields = F.struct(
         F.when(silent, F.map_from_entries(F.array().cast("array<struct<key:string,value:bigint>>"))).otherwise(F.col("summary.counts")).alias("counts"),
         *(F.when(silent, zero).otherwise(F.col(f"summary.{x}")).alias(x) for x in ("pairs", "orphan_begin", "orphan_end")),
-        F.when(~silent & (F.size("summary.aborted_lines") > 0), F.array("line_no")).otherwise(F.array().cast("array<int>")).alias("aborted_lines"),
+        F.when(silent, F.array().cast("array<int>")).otherwise(aborted).alias("aborted_lines"),
     )
-    return done.withColumn("redacted", F.when((F.col("__n") > 0) & ~F.col("refused"), F.col("redacted")).otherwise(F.col("line"))).withColumn("summary", fields).drop("__n", "__was", "__is")
-
-
-def redact_jsonl(df: DataFrame, rules: list[Rule], keys: bool = True, text: str = "text", by: tuple[str, ...] = ("path",)) -> DataFrame:
-    """by columns, redacted (the text of all lines), summary, unsafe_lines. The only shuffle brings a text's lines together again."""
-    each = redact_lines(df.select(*by, text), rules, keys, text)
-    together = each.groupBy(*by).agg(
-        F.sort_array(F.collect_list(F.struct("line_no", "redacted"))).alias("l"), F.collect_list(F.when(F.size("summary.counts") > 0, F.col("summary.counts"))).alias("maps"),
-        *(F.sum(f"summary.{x}").alias(x) for x in ("pairs", "orphan_begin", "orphan_end")), F.sort_array(F.flatten(F.collect_list("summary.aborted_lines"))).alias("aborted_lines"),
-        F.sort_array(F.collect_list(F.when(F.col("refused"), F.col("line_no")))).alias("unsafe_lines"),
-    )
-    summary = F.struct(merged_counts(F.col("maps")).alias("counts"), "pairs", "orphan_begin", "orphan_end", "aborted_lines")
-    return together.select(*by, F.array_join(F.transform("l", lambda x: x["redacted"]), "\n").alias("redacted"), summary.alias("summary"), "unsafe_lines")
+    kept = F.when((F.col("__n") > 0) & ~F.col("refused"), F.col("redacted")).otherwise(F.col("line"))
+    return done.withColumn("redacted", kept).withColumn("summary", fields).drop("__n", "__was", "__is", "__by")
+
+
+def redact_jsonl(df: DataFrame, rules: list[Rule], keys: bool = True, text: str = "text", by: tuple[str, ...] = ("path",), by_line: Column | None = None) -> DataFrame:
+    """by columns, redacted (the text of all lines), summary, unsafe_lines: one row for each row of df, whatever its by columns hold.
+
+    A map-only step: the lines of a text leave the rules one after another, in the task that split it, and are joined there. A null text stays null.
+    """
+    marked = df.select(*(F.col(c).alias(f"by{i}") for i, c in enumerate(by)), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"), (F.lit(True) if by_line is None else by_line).alias("by_line"))
+    each = redact_lines(marked, rules, keys, "text", F.col("by_line")).select("row", *(f"by{i}" for i in range(len(by))), "redacted", "line_no", "refused", "summary", ((F.size("summary.counts") > 0) | (F.col("summary.pairs") > 0) | has_key_concern()).alias("busy"))
+    first, last = 1 + len(by), 4 + len(by)
+    names = [*by, "redacted", "summary", "unsafe_lines"]
+    kinds = [df.schema[c].dataType.simpleString() for c in by]
+    schema = ", ".join(f"`{c}` {k}" for c, k in zip(names, [*kinds, "string", SUMMARY, "array<int>"], strict=True))
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of rows with one row number, which may go on in the next batch, as one row each."""
+        now, held, parts, sums = None, None, [], None
+
+        def whole() -> pa.RecordBatch:
+            counts, numbers, aborted, unsafe = sums
+            text = None if parts == [None] else "\n".join(parts)
+            summary = {"counts": sorted(counts.items()), "pairs": numbers[0], "orphan_begin": numbers[1], "orphan_end": numbers[2], "aborted_lines": aborted}
+            made = [pa.array([x], f.type) for x, f in zip((text, summary, unsafe), list(shape)[len(by) :], strict=True)]
+            return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(held, shape, strict=False)] + made, schema=shape)
+
+        for b in batches:
+            rows, texts, line_nos, refused = (b.column(i).to_pylist() for i in (0, first, first + 1, first + 2))
+            of = b.column(last)
+            busy = b.column(last + 1).to_pylist()
+            done = []
+            for i, row in enumerate(rows):
+                if row != now:
+                    if now is not None:
+                        done.append(whole())
+                    now, held, parts, sums = row, [b.column(1 + j).slice(i, 1) for j in range(len(by))], [], ({}, [0, 0, 0], [], [])
+                parts.append(texts[i])
+                if refused[i]:
+                    sums[3].append(line_nos[i])
+                if busy[i]:
+                    s = of[i].as_py()
+                    for k, n in s["counts"]:
+                        sums[0][k] = sums[0].get(k, 0) + n
+                    for j, x in enumerate(("pairs", "orphan_begin", "orphan_end")):
+                        sums[1][j] += s[x]
+                    sums[2].extend(s["aborted_lines"])
+            yield from done
+        if now is not None:
+            yield whole()
+
+    return each.mapInArrow(join, schema)
 
 
 def counts_as_rows(df: DataFrame, *by: str, summary: str = "summary") -> DataFrame:

@@ -35,18 +35,17 @@ def decided(files: DataFrame, options: Options, now_ns: int | None = None) -> Da
 
 
 def redacted_files(files: DataFrame, rules: list[Rule], keys: bool) -> DataFrame:
-    """files(path, text, ...) -> path, kind, redacted, summary, unsafe_lines, n, valid."""
-    kinds = files.select("path", "text", detected_kind(F.col("path"), F.col("text")).alias("kind"))
-    whole = redact_text(kinds.where("kind <> 'jsonl'"), rules, keys).select("path", "kind", "redacted", "summary", F.array().cast("array<int>").alias("unsafe_lines"))
-    by_line = redact_jsonl(kinds.where("kind = 'jsonl'"), rules, keys).select("path", F.lit("jsonl").alias("kind"), "redacted", "summary", "unsafe_lines")
-    both = whole.unionByName(by_line).withColumn("n", total_redactions())
+    """files(path, text, ...) -> its columns but the text, kind, redacted, summary, unsafe_lines, n, valid: one plan without a shuffle, so each text is made once."""
+    rest = tuple(c for c in files.columns if c != "text")
+    kinds = files.withColumn("kind", detected_kind(F.col("path"), F.col("text")))
+    both = redact_jsonl(kinds, rules, keys, by=(*rest, "kind"), by_line=F.col("kind") == "jsonl").withColumn("n", total_redactions())
     return both.withColumn("valid", (F.col("kind") == "jsonl") | is_valid(F.col("kind"), F.col("redacted")))
 
 
 def outcome():
-    """Of a file that was read: clean, redacted or validation_failed."""
+    """Of a file: clean, redacted or validation_failed; null where it could not be read."""
     open_ = has_key_concern() | (F.size("unsafe_lines") > 0)
-    return F.when((F.col("n") == 0) & ~open_, "clean").when(~F.col("valid"), "validation_failed").otherwise("redacted")
+    return F.when(F.col("redacted").isNull(), None).when((F.col("n") == 0) & ~open_, "clean").when(~F.col("valid"), "validation_failed").otherwise("redacted")
 
 
 def scan(spark: SparkSession, roots: list[str], rules: list[Rule], options: Options, now_ns: int | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
@@ -66,10 +65,8 @@ def scan(spark: SparkSession, roots: list[str], rules: list[Rule], options: Opti
     if todo:
         parts = min(len(todo), 4 * spark.sparkContext.defaultParallelism)
         read = with_text(spark.createDataFrame(todo, "visit bigint, path string, key string, mtime_ns bigint, size bigint").repartition(parts))
-        bad = F.col("text").isNull()
-        done = redacted_files(read.where(~bad), rules, options.keys).withColumn("outcome", outcome())
-        stamped = spark.createDataFrame(todo, "visit bigint, path string, key string, mtime_ns bigint, size bigint").join(done, "path", "left")
-        found = {r["visit"]: r for r in _put(stamped, options.write).collect()}
+        done = redacted_files(read, rules, options.keys).withColumn("outcome", outcome())
+        found = {r["visit"]: r for r in _put(done, options.write).collect()}
     out = []
     for r in rows:
         base = (r["visit"], r["path"], r["key"], r["mtime_ns"], r["size"])
