@@ -7,7 +7,7 @@ import os
 import stat
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,8 +85,8 @@ def with_text(files: DataFrame) -> DataFrame:
     return files.mapInArrow(read, f"{schema}, text string")
 
 
-def replace_file(path: str, text: str, mtime_ns: int, size: int, at: Callable[[str], None] = lambda phase: None) -> tuple[int, int] | None:
-    """Put text in place of a file that still has this stamp; the new stamp, or None if it was refused.
+def replace_file(path: str, text: str | Iterable[str], mtime_ns: int, size: int, at: Callable[[str], None] = lambda phase: None) -> tuple[int, int] | None:
+    """Put text, whole or in parts that come one after another, in place of a file that still has this stamp; the new stamp, or None if it was refused.
 
     The new content lies complete and synced beside the file, with its mode, before it takes the name. `at` is told each phase.
     """
@@ -103,7 +103,8 @@ def replace_file(path: str, text: str, mtime_ns: int, size: int, at: Callable[[s
         at("open")
         with os.fdopen(os.open(temp, os.O_WRONLY | os.O_CREAT | os.O_EXCL, mode & 0o600), "wb") as f:
             os.fchmod(f.fileno(), mode)
-            f.write(text.encode("utf-8"))
+            for part in [text] if isinstance(text, str) else text:
+                f.write(part.encode("utf-8"))
             f.flush()
             os.fsync(f.fileno())
             s = os.fstat(f.fileno())
@@ -111,9 +112,11 @@ def replace_file(path: str, text: str, mtime_ns: int, size: int, at: Callable[[s
         if not same():
             raise OSError("changed meanwhile")
         os.replace(temp, path)
-    except OSError:
+    except (OSError, ValueError) as e:
         with contextlib.suppress(OSError):
             os.unlink(temp)
+        if isinstance(e, ValueError):  # what the parts said of themselves
+            raise
         return None
     with contextlib.suppress(OSError):
         d = os.open(os.path.dirname(path) or ".", os.O_RDONLY)

@@ -171,14 +171,16 @@ DATA = "ab/c" * 60
 def test_image_lines(spark):
     old, young = record(DATA), record(DATA, "2030-01-01T00:00:00")
     cut = 1_800_000_000.0
-    due, fields, freed, fresh = images.plan_line(old, cut, 0)
-    assert (due, fields, freed, fresh) == ([DATA], 2, 2 * (len(DATA) - len(images.PLACEHOLDER)), 0) and images.plan_line(young, cut, 0)[3] == 2
-    new, n = images.strip_line(old, due)
-    assert n == 2 and DATA not in new and images.strip_line(old.replace("/", "\\/"), due)[1] == 2
-    assert images.plan_line("{broken", cut, 0) == ([], 0, 0, 0) and images.plan_line(new, cut, 0)[1] == 0
+    plan = images.planned(old, cut, 0)
+    assert plan == images.Plan(frozenset([DATA]), 2, 2 * (len(DATA) - len(images.PLACEHOLDER)), 0) and images.planned(young, cut, 0).young == 2
+    new = images.stripped(old, plan.due)
+    assert new.count(images.PLACEHOLDER) == 2 and DATA not in new
+    assert images.stripped(old.replace("/", "\\/"), plan.due) == new.replace("/", "\\/").replace(images.PLACEHOLDER.replace("/", "\\/"), images.PLACEHOLDER)
+    assert images.planned("{broken", cut, 0) == images.Plan() and images.planned(new, cut, 0).fields == 0
+    assert [p for p, _ in images.images_in(json.loads(old))] == [("file", "base64"), ("c", 0, "data")]
     with pytest.raises(ValueError):
-        images.strip_line(record(DATA, note=DATA), due)
-    assert images.record_time({"timestamp": "bad"}, 7.0) == 7.0 and images.record_time([], 8.0) == 8.0
+        images.stripped(record(DATA, note=DATA), plan.due)
+    assert images.seconds_of({"timestamp": "bad"}, 7.0) == 7.0 and images.seconds_of([], 8.0) == 8.0 and images.seconds_of({"timestamp": 5}, 9.0) == 9.0
     rows = images.strip_records(spark.createDataFrame([(old,), (young,), ("plain",), (None,), (record(DATA, note=DATA),)], "line string"), cut).collect()
     assert [r["fields"] for r in rows] == [2, 0, 0, 0, 0] and rows[1]["young"] == 2 and rows[4]["error"] and rows[3]["line"] is None
 
@@ -196,6 +198,13 @@ def test_image_sweep(spark, tmp_path):
     assert list(state["files"]) == [str(q)] and images.sweep_transcripts(spark, [str(q)], [], state=state)[0] == []
     with pytest.raises(ValueError):
         images.sweep_transcripts(spark, [], [], max_age_h=float("nan"))
+    r = tmp_path / "v.jsonl"
+    r.write_text(record(DATA) + "\n" + record(DATA, note=DATA) + "\n")
+    os.utime(r, (time.time() - 9000,) * 2)
+    before = r.read_text()
+    rows, _ = images.sweep_transcripts(spark, [str(r)], [])
+    assert rows[0]["error"] and r.read_text() == before and sorted(os.listdir(tmp_path)) == ["t.jsonl", "u.jsonl", "v.jsonl"]
+    assert images.image_report(rows)[1].startswith("images: ! ") and images.image_report([], (0, 0)) == [] and len(images.image_report([], dry_run=True)) == 1
     d = tmp_path / "cache" / "sub"
     d.mkdir(parents=True)
     for name in ("a.PNG", "b.txt"):
