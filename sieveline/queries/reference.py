@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions import rules as R
-from sieveline.functions.globs import matches_any
+from sieveline.functions.globs import matches_any, prefix_excluded_column
 from sieveline.functions.keys import key_line
 from sieveline.functions.text import entropy, is_blank, lines
 from sieveline.operators.control import verdict, with_control
@@ -18,7 +18,7 @@ from sieveline.operators.images import PLACEHOLDER, strip_records
 from sieveline.operators.redact import counts_as_rows, redact_jsonl, redact_text, total_redactions
 from sieveline.plans.sweep import Options, decided, mode_label, state_action, totals, trouble
 from sieveline.queries import carriers as C
-from sieveline.sources.files import detected_kind, possibly_live
+from sieveline.sources.files import detected_kind, is_valid, possibly_live
 from sieveline.sources.sessions import SESSION_ID, valid_session_id
 from sieveline.sources.state import with_state
 
@@ -125,10 +125,16 @@ def rule_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts_as_rows(redact_text(read(spark, sf_dir, "documents").select("lang", "text"), [R.simple("custom", TOKEN, ("token",))]), "lang")
 
 
-@query("secrets_in_documents")
+_doc_text = "case when doc_id % 3 = 0 then concat(coalesce(text, ''), ' ghp_', substr(concat(md5(cast(doc_id as string)), md5(text)), 1, 36)) when doc_id % 7 = 1 then concat('sk_live_', md5(text), ' ', text) else text end"
+
+
+@query("secrets_in_documents", "select source, rule, cast(sum(n) as bigint) as n from (" + " union all ".join(f"select source, '{i}' as rule, len(regexp_extract_all(t, '{_re2(p)}')) as n from d" for i, p, _ in R.SECRETS) + ") group by source, rule having sum(n) > 0")
 def secrets_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All secret rules over whole texts; what was found, by source and rule."""
-    return counts_as_rows(redact_text(read(spark, sf_dir, "documents").select("source", "text"), R.secret_rules()), "source")
+    """All secret rules over whole texts, to some of which a key was added; what was found, by source and rule."""
+    return counts_as_rows(redact_text(read(spark, sf_dir, "documents").select("source", F.expr(_doc_text).alias("text")), R.secret_rules()), "source")
+
+
+SQL["secrets_in_documents"] = f"with d as (select source, coalesce({_doc_text}, '') as t from documents) {SQL['secrets_in_documents']}"
 
 
 @query("entropy_gate", f"select o_orderkey, round({_entropy_sql('v')}, 6) as bits, {_entropy_sql('v')} >= 3.5 as passes from (select o_orderkey, substr({C.H}, 1, 24) as v from orders)")
@@ -195,6 +201,32 @@ def jsonl_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_jsonl(d, BREAKS, True, "text", ("event_id",)).select("event_id", "redacted", total_redactions().alias("n"), F.get("unsafe_lines", F.lit(0)).alias("refused_line"))
 
 
+_shared = "concat('/p', event_id % 7)"
+
+
+@query("jsonl_repeated_rows", f"select {_shared} as path, concat(props, chr(10), 'plain ', event_id, ' [REDACTED-word]') as redacted, cast(1 as bigint) as n from events")
+def jsonl_repeated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that share a path stay apart."""
+    d = read(spark, sf_dir, "events").select(F.expr(_shared).alias("path"), F.expr("concat(props, chr(10), 'plain ', event_id, ' secret', event_id)").alias("text"))
+    return redact_jsonl(d, BREAKS[1:]).select("path", "redacted", total_redactions().alias("n"))
+
+
+@query("jsonl_null_text", "select case when event_id % 4 = 0 then '' else cast(event_id as string) end as path, case when event_id % 3 = 0 then '(null)' when event_id % 3 = 1 then '' else concat('a [REDACTED-word]', chr(10)) end as redacted, 0 as unsafe from events")
+def jsonl_null_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null paths and texts, and empty texts, each give their row."""
+    d = read(spark, sf_dir, "events").select(F.expr("case when event_id % 4 <> 0 then cast(event_id as string) end").alias("path"), F.expr("case when event_id % 3 = 1 then '' when event_id % 3 = 2 then concat('a secret', event_id, chr(10)) end").alias("text"))
+    return redact_jsonl(d, BREAKS[1:]).select(F.coalesce("path", F.lit("")).alias("path"), F.coalesce("redacted", F.lit("(null)")).alias("redacted"), F.size("unsafe_lines").alias("unsafe"))
+
+
+_structure = "case o_orderkey % 6 when 0 then concat('{\"a\": ', o_orderkey, '}') when 1 then '{\"a\": }' when 2 then concat('[1]', chr(10), chr(10), '{\"k\": ', o_orderkey, '}') when 3 then concat('[1]', chr(10), 'x') when 4 then concat(' ', chr(10)) else 'x' end"
+_structure_kind = "case o_custkey % 3 when 0 then 'json' when 1 then 'jsonl' else 'text' end"
+
+
+@query("structure_valid", f"select o_orderkey, case o_custkey % 3 when 0 then o_orderkey % 6 = 0 when 1 then o_orderkey % 6 in (0, 2, 4) else true end as valid from orders")
+def structure_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select("o_orderkey", is_valid(F.expr(_structure_kind), F.expr(_structure)).alias("valid"))
+
+
 # files and state --------------------------------------------------------------------------------
 
 _path = "concat('/d/', o_custkey, '/f', o_orderkey, case o_orderkey % 6 when 0 then '.jsonl' when 1 then '.json' when 2 then '.json' when 3 then '.json' when 4 then '.JSON' else '' end)"
@@ -288,9 +320,25 @@ def state_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _results(spark, sf_dir).select("o_orderkey", state_action().alias("action"))
 
 
-@query("rules_fingerprint")
+def _fnv_sql(name: str) -> str:
+    """FNV-1a of a rule set's parts, by SQL over their bytes."""
+    parts = ["1", "1", "pem" if R.includes_keys(name) else "no-pem", *(x for r in R.rule_set(name) for x in (r.id, r.source))]
+    data = [0xCBF29CE484222325, *b"".join(p.encode() + b"\0" for p in parts)]
+    return f"select '{name}' as rule_set, lower(lpad(hex(cast(list_reduce(cast([{', '.join(map(str, data))}] as hugeint[]), lambda a, b: (xor(a, b) * {0x100000001B3}::hugeint) % {1 << 64}::hugeint) as ubigint)), 16, '0')) as fingerprint"
+
+
+@query("rules_fingerprint", " union all ".join(map(_fnv_sql, R.SETS)))
 def rules_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s, R.fingerprint(R.rule_set(s), R.includes_keys(s))) for s in R.SETS], "rule_set string, fingerprint string")
+    """Of the rule sets, under a fixed release."""
+    return spark.createDataFrame([(s, R.fingerprint(R.rule_set(s), R.includes_keys(s), "1")) for s in R.SETS], "rule_set string, fingerprint string")
+
+
+PREFIXES = ["/d/1/*", "/d/2?/*", "*.JSON", "/d/[3-4]*/f*5.json"]
+
+
+@query("prefix_excluded", rf"select o_orderkey, p = '/d/1' or starts_with(p, '/d/1/') or regexp_matches(p, '^/d/2./.*$') or regexp_matches(p, '^.*\.JSON$') or regexp_matches(p, '^/d/[3-4].*/f.*5\.json$') as excluded from (select o_orderkey, {_path} as p from orders)")
+def prefix_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select("o_orderkey", prefix_excluded_column(F.expr(_path), PREFIXES).alias("excluded"))
 
 
 # events, images, sessions -----------------------------------------------------------------------
@@ -306,6 +354,18 @@ def event_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("o_orderkey", F.col("r.reply").isNotNull().alias("replied"), F.get_json_object("r.reply", f"{new}.stdout").alias("stdout"), F.get_json_object("r.reply", f"{new}.base64").alias("opaque"), F.col("r.error").alias("error"))
 
 
+@query("event_notice", "select o_orderkey, '1 value(s) of this tool result were masked (github-pat: 1). [REDACTED-*] stands where a value stood that must not be recovered or written back.' as told from orders where o_orderkey % 5 = 4")
+def event_notice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "orders").select("o_orderkey", reply_column(F.expr(_event)).alias("r")).where("r.reply is not null")
+    return d.select("o_orderkey", F.get_json_object("r.reply", "$.hookSpecificOutput.additionalContext").alias("told"))
+
+
+@query("event_counts", "select case o_orderkey % 5 when 0 then 'error' when 1 then 'error' when 4 then 'masked' else 'passed' end as outcome, count(*) as n from orders group by 1")
+def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "orders").select(reply_column(F.expr(_event)).alias("r"))
+    return d.groupBy(F.when(F.col("r.error").isNotNull(), "error").when(F.col("r.reply").isNotNull(), "masked").otherwise("passed").alias("outcome")).agg(F.count("*").alias("n"))
+
+
 _data = "repeat(substr(md5(concat(cast(conv_id as string), '-', cast(turn as string))), 1, 8), 20)"
 _stamp = "case when turn % 2 = 0 then '2024-01-01T00:00:00Z' else '2025-06-01T00:00:00+00:00' end"
 _record = f"case when conv_id % 4 = 3 then concat('{{\"role\": \"', role, '\"}}') else concat('{{\"timestamp\": \"', {_stamp}, '\", \"m\": [{{\"type\": \"base64\", \"media_type\": \"image/png\", \"data\": \"', {_data}, '\"}}, {{\"type\": \"image/png\", \"base64\": \"', {_data}, '\"}}]}}') end"
@@ -325,6 +385,14 @@ def image_age_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.sum("fields").alias("due"), F.sum("young").alias("young"), F.count_if(F.col("fields") > 0).alias("records"))
 
 
+@query("image_totals", f"select cast(sum(case when {_due} and conv_id % 8 <> 1 then 2 else 0 end) as bigint) as payloads, count(distinct case when {_due} and conv_id % 8 <> 1 then conv_id end) as transcripts, cast(sum(case when {_due} and conv_id % 8 <> 1 then {2 * (160 - len(PLACEHOLDER))} else 0 end) as bigint) as bytes, count(*) filter (where {_due} and conv_id % 8 = 1) as errors from conversations")
+def image_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run over conversations as transcripts reports; some records say a payload outside its image too, and are left."""
+    spoilt = f"case when conv_id % 8 = 1 then concat(substr({_record}, 1, length({_record}) - 1), ', \"note\": \"', {_data}, '\"}}') else {_record} end"
+    d = strip_records(read(spark, sf_dir, "conversations").select("conv_id", F.expr(spoilt).alias("line")), IMAGE_CUTOFF)
+    return d.agg(F.sum("fields").alias("payloads"), F.count_distinct(F.when(F.col("fields") > 0, F.col("conv_id"))).alias("transcripts"), F.sum("freed").alias("bytes"), F.count("error").alias("errors"))
+
+
 _sid = "case c_custkey % 4 when 0 then concat(c_name, '-x') when 1 then substr(md5(cast(c_custkey as string)), 1, 7) when 2 then concat('_', c_mktsegment, c_custkey) else concat(md5(cast(c_custkey as string)), case when c_nationkey % 2 = 0 then chr(10) else '' end) end"
 
 

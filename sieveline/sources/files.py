@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import stat
 import time
 import uuid
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.text import json_ok, jsonl_ok
 
+#: What replace_file calls the file it writes beside another.
+LEFTOVER = re.compile(r"\.(.*)\.[0-9a-f]{32}\.tmp")
 INVENTORY = "visit bigint, root string, path string, key string, mtime_ns bigint, size bigint, stat_ok boolean"
 
 

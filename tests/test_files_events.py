@@ -215,9 +215,10 @@ def test_image_sweep(spark, tmp_path):
         os.utime(f, (1, 1))
     assert images.sweep_cache(str(tmp_path / "cache"), time.time(), time.time(), [], dry_run=True) == (2, 3) and (d / "a.PNG").exists()
     assert images.sweep_cache(str(tmp_path / "cache"), time.time(), time.time(), []) == (2, 3) and os.listdir(d) == ["b.txt"]
-    (tmp_path / ".image-sweep-x.1").write_text("")
-    os.utime(tmp_path / ".image-sweep-x.1", (1, 1))
-    assert images.reap(str(tmp_path), time.time(), [], "y") == 0 and images.reap(str(tmp_path), time.time(), []) == 1
+    left = tmp_path / f".x.jsonl.{'a1' * 16}.tmp"
+    left.write_text("")
+    os.utime(left, (1, 1))
+    assert images.reap(str(tmp_path), time.time(), [], "y.jsonl") == 0 and images.reap(str(tmp_path), time.time(), []) == 1
 
 
 def test_sessions(tmp_path):
