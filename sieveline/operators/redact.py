@@ -16,11 +16,14 @@ from sieveline.functions.text import interleaved, is_blank, json_ok, lines
 
 SUMMARY = "struct<counts:map<string,bigint>,pairs:bigint,orphan_begin:bigint,orphan_end:bigint,aborted_lines:array<int>>"
 
+#: A character of no meaning that stands behind each replacement until it is counted.
+MARK = "\ue000"
+
 
 def rewrite(df: DataFrame, rule: Rule, text: str, n: str) -> DataFrame:
     """df with one rule applied to column `text` and column `n`, how many matches it replaced; published examples stay and are not counted.
 
-    A text that holds none of the rule's literals is not searched, and one without a match is not rewritten.
+    A text that holds none of the rule's literals is not searched.
     """
     t, zero = F.col(text), F.lit(0).cast("bigint")
     some = None
@@ -31,8 +34,13 @@ def rewrite(df: DataFrame, rule: Rule, text: str, n: str) -> DataFrame:
         decide = rule.decide or (lambda m: F.regexp_replace(m, rule.java, rule.template))
         df = df.withColumn("__r", guarded(interleaved(t, rule.java, decide), F.struct(t.alias("text"), zero.alias("n"))))
         return df.withColumns({text: F.col("__r.text"), n: F.col("__r.n")}).drop("__r")
-    df = df.withColumn(n, guarded(F.regexp_count(t, F.lit(rule.java)).cast("bigint"), zero))
-    return df.withColumn(text, F.when(F.col(n) > 0, F.regexp_replace(t, rule.java, rule.template)).otherwise(t))
+    # one pass: each replacement bears a mark, which is counted and taken off; a text that holds the mark itself is counted and replaced in two
+    marked, two = F.col("__m"), guarded(t.contains(MARK), F.lit(False))
+    df = df.withColumn("__m", guarded(F.when(~t.contains(MARK), F.regexp_replace(t, rule.java, rule.template + MARK)), F.lit(None)))
+    df = df.withColumn("__s", F.replace(marked, F.lit(MARK), F.lit("")))
+    counted = ((F.octet_length("__m") - F.octet_length("__s")) / len(MARK.encode())).cast("bigint")
+    df = df.withColumn(n, F.when(marked.isNotNull(), counted).when(two, F.regexp_count(t, F.lit(rule.java)).cast("bigint")).otherwise(zero))
+    return df.withColumn(text, F.when(marked.isNotNull(), F.col("__s")).when(two, F.regexp_replace(t, rule.java, rule.template)).otherwise(t)).drop("__m", "__s")
 
 
 def redact_text(df: DataFrame, rules: list[Rule], keys: bool = True, text: str = "text", out: str = "redacted", summary: str = "summary") -> DataFrame:

@@ -140,3 +140,21 @@ def test_globs(spark, tmp_path):
     some = ["/a/[x]/b", "/a/y/z.txt", "/b"]
     got = [r[0] for r in texts(spark, *some).orderBy("i").select(globs.prefix_excluded_column(F.col("text"), ["/a/[x]/*", "*.txt"])).collect()]
     assert got == [globs.prefix_excluded(p, ["/a/[x]/*", "*.txt"]) for p in some]
+
+
+def test_texts_that_hold_the_mark_are_counted_too(spark):
+    from sieveline.operators.redact import MARK
+
+    key = "ghp_" + "a1B2" * 9
+    rows = [f"x {key} {key}", f"{MARK}x {key}{MARK} {key}", MARK, "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, text string")
+    got = redact_text(df, rules.secret_rules()).withColumn("n", total_redactions()).orderBy("i").collect()
+    assert [r["n"] for r in got] == [2, 2, 0, 0, 0]
+    assert [r["redacted"] for r in got] == [t and t.replace(key, "[REDACTED-github-pat]") for t in rows]
+
+
+def test_filters_pass_the_rules(spark, tmp_path):
+    spark.createDataFrame([(1, "a", "x")], "i int, p string, text string").write.parquet(str(tmp_path / "t"))
+    done = redact_text(spark.read.parquet(str(tmp_path / "t")), rules.secret_rules()).where("p = 'a' and redacted <> ''")
+    plan = done._jdf.queryExecution().toString()
+    assert "EqualTo(p,a)" in plan and plan.split("== Physical Plan ==")[1].count("dckr_pat_[A-Za-z0-9_-]{27}") <= 2
