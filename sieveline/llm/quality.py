@@ -3,7 +3,7 @@
 Base statistics of each text become a vector of transformed statistics. For each pair of language and source the
 minimum-covariance-determinant estimate is found by concentration steps from two starts (medians with
 quartile ranges; plain moments): keep the share CORE of rows that lie nearest by Mahalanobis distance, estimate anew, and repeat until no
-estimate changes (each step lowers determinants, so few are needed; STEPS at most). Of
+estimate's determinant changes by more than SETTLED (two to four steps as a rule, STEPS at most). Of
 the starts the one with the smaller determinant stays. Rows beyond CUTOFF by that estimate are rejected.
 
 Vectors are whole numbers of thousandths and their sums are whole numbers too, so reruns agree to
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import SPACE, dropped, words, written
 
 CORE, STEPS, LEAST, CLASSES = 0.75, 20, 40, 1300
-#: Change of a log determinant below which an estimate counts as settled.
-SETTLED = 1e-6
+#: Change of the log of a determinant's root below which an estimate counts as settled; classes of distance let smaller ones go on for ever.
+SETTLED = 0.01
 #: Groups whose estimates (some 30 numbers each) may be broadcast.
 SMALL = 20_000
 #: The statistics and, in thousandths, the least deviation that each is granted.

@@ -175,46 +175,48 @@ def brute_vector(t):
     return [math.floor(v * 1000 + 0.5) for v in x]
 
 
-def brute_mcd(x):
-    """Mean and covariance of the settled core, from two starts, by the definition."""
+def brute_mcd(groups):
+    """group -> its rows; distance functions of the settled cores, from two starts, by the definition. All go on until all have settled."""
     floors = np.diag([float(v) ** 2 for v in quality.STATS.values()])
-    d2 = lambda m, c: ((x - m) @ np.linalg.inv(c) * (x - m)).sum(1)
     of = lambda rows: (rows.mean(0), np.cov(rows.T, bias=True) + floors)
-    q = np.percentile(x, [25, 50, 75], axis=0)
-    found = []
-    for m, c in ((q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2) + floors), of(x)):
-        for _ in range(20):
-            k = np.minimum(quality.CLASSES, np.floor(np.log1p(d2(m, c)) * 64)).astype(int)
+    now = {}
+    for g, x in groups.items():
+        q = np.percentile(x, [25, 50, 75], axis=0)
+        now[g, 0], now[g, 1] = (q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2) + floors), of(x)
+    logdet = lambda c: np.linalg.slogdet(c)[1] / 2
+    while True:
+        new = {}
+        for (g, start), (m, c) in now.items():
+            x = groups[g]
+            d2 = ((x - m) @ np.linalg.inv(c) * (x - m)).sum(1)
+            k = np.minimum(quality.CLASSES, np.floor(np.log1p(d2) * 64)).astype(int)
             before = np.array([(k < i).sum() for i in k])
-            core = x[k <= k[before < np.ceil(len(x) * quality.CORE)].max()]
-            was, (m, c) = c, of(core)
-            if abs(np.linalg.slogdet(c)[1] - np.linalg.slogdet(was)[1]) < 2e-6:
-                break
-        found.append((np.linalg.slogdet(c)[1], m, c))
-    _, m, c = min(found, key=lambda f: f[0])
-    return lambda v: (v - m) @ np.linalg.inv(c) @ (v - m) / quality.CONSISTENCY
+            new[g, start] = of(x[k <= k[before < np.ceil(len(x) * quality.CORE)].max()])
+        moved = max(abs(logdet(new[s][1]) - logdet(now[s][1])) for s in now)
+        now = new
+        if moved < quality.SETTLED:
+            break
+    best = {g: min((now[g, 0], now[g, 1]), key=lambda f: logdet(f[1])) for g in groups}
+    return {g: lambda v, m=m, c=c: (v - m) @ np.linalg.inv(c) @ (v - m) / quality.CONSISTENCY for g, (m, c) in best.items()}
 
 
 def test_verdicts_against_brute_force(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang = 'en' or source is null").select("doc_id", "text", "lang", F.lit("s").alias("source"))
-    rows = docs.orderBy("doc_id").limit(700).collect()
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang in ('en', 'fr')").select("doc_id", "text", "lang", F.lit("s").alias("source"))
+    rows = docs.orderBy("doc_id").limit(900).collect()
     got = {g["doc_id"]: g for g in quality.judge(spark, spark.createDataFrame(rows, docs.schema)).collect()}
-    base = {r["doc_id"]: not got[r["doc_id"]]["base_failed"] for r in rows}
     vectors = {r["doc_id"]: np.array(brute_vector(r["text"]), float) for r in rows}
     groups = {}
     for r in rows:
-        if base[r["doc_id"]]:
+        if not got[r["doc_id"]]["base_failed"]:
             groups.setdefault(r["lang"], []).append(vectors[r["doc_id"]])
-    judge = {g: brute_mcd(np.array(v)) for g, v in groups.items() if len(v) >= quality.LEAST}
-    seen = 0
+    assert len(groups) == 2 and min(map(len, groups.values())) >= quality.LEAST
+    judge = brute_mcd({g: np.array(v) for g, v in groups.items()})
     for r in rows:
         d = r["doc_id"]
-        if r["lang"] in judge:
-            distance = judge[r["lang"]](vectors[d])
-            assert np.isclose(got[d]["distance"], distance, rtol=1e-6)
-            assert got[d]["kept"] == (base[d] and distance <= quality.CUTOFF)
-            seen += 1
-    assert seen > 300 and 0 < sum(got[d]["kept"] for d in got) < len(got)
+        distance = judge[r["lang"]](vectors[d])
+        assert np.isclose(got[d]["distance"], distance, rtol=1e-6)
+        assert got[d]["kept"] == (not got[d]["base_failed"] and distance <= quality.CUTOFF)
+    assert 0 < sum(g["kept"] for g in got.values()) < len(got)
 
 
 def test_estimates_against_numpy(spark):
