@@ -2,8 +2,8 @@
 
 Texts are read as words with A-Z in lower case and an end. Word counts over all training documents give the base score; the
 words with the highest counts (at most HOT, of HOT_BYTES at most) go to every task, the occurrences of all others are joined by word.
-Subword counts come from the word counts, since a word's subwords do not depend on its neighbours. The attention model
-is trained by all partitions on all training documents, each in one of ROUNDS rounds by a hash: in a round each partition trains
+Subword counts come from the word counts, since a word's subwords do not depend on its neighbours. Each text is read once into subword ids,
+two bytes each, which are written for training and scoring. The attention model is trained by all partitions on all training documents, each in one of ROUNDS rounds by a hash: in a round each partition trains
 from the common state, and states are averaged up a tree by the predictions they saw. Windows overlap so that
 each subword is scored once with context before it.
 
@@ -53,12 +53,23 @@ class Words(Bounded):
         return self.keep(word, (ids, self.known.get(word)), len(ids))
 
 
-_END = np.array([END], "<u4").tobytes()
+def stream(ids: list[bytes]) -> bytes:
+    """END, the ids of the words, END, in two bytes each."""
+    end = np.array([END], "<u4").tobytes()
+    return np.frombuffer(b"".join([end, *ids, end]), "<u4").astype("<u2").tobytes()
 
 
-def stream(ids: list[bytes]) -> np.ndarray:
-    """END, the ids of the words, END."""
-    return np.frombuffer(b"".join([_END, *ids, _END]), "<u4").astype(np.int32)
+def ids_in(column: pa.Array) -> Iterator[list[np.ndarray]]:
+    """The id sequences of a column of streams, about CHUNK ids at a time."""
+    some, size = [], 0
+    for x in column:
+        some.append(np.frombuffer(x.as_buffer(), "<u2").astype(np.int32))
+        size += len(some[-1])
+        if size > CHUNK:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -133,7 +144,7 @@ def average(spark: SparkSession, states: DataFrame, p: dict) -> tuple[dict, int]
 
 
 def fit(spark: SparkSession, docs: DataFrame, counts: DataFrame, n_docs: int, where: tuple[str, str, str]) -> dict:
-    """The attention model from (word, n) counts and the training documents (text, doc_id); seen is the number of predictions it learnt from."""
+    """The attention model from (word, n) counts and the training documents' streams (row, ids); seen is the number of predictions it learnt from."""
     sc = spark.sparkContext
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,21 +205,15 @@ def fit(spark: SparkSession, docs: DataFrame, counts: DataFrame, n_docs: int, wh
         def learn(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
             one_core_each()
             start, inputs, cls = sent.value
-            trainer, read = attention.Trainer(start, seed=turn), Words(where)
+            trainer = attention.Trainer(start, seed=turn)
             for b in batches:
-                some, size = [], 0
-                for t in b.column(0):
-                    some.append(stream([read[w][0] for w in lower_words(t.as_py())]))
-                    size += len(some[-1])
-                    if size > CHUNK:
-                        trainer.learn(some, inputs, cls)
-                        some, size = [], 0
-                trainer.learn(some, inputs, cls)
+                for some in ids_in(b.column(0)):
+                    trainer.learn(some, inputs, cls)
             if trainer.seen:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([trainer.seen]), *(pa.array([v.astype("<f4").tobytes()]) for v in trainer.p.values())], ["part", "seen", *trainer.p])
 
         schema = "part bigint, seen bigint, " + ", ".join(f"{k} binary" for k in p)
-        some = docs.where(F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "text"), F.lit(ROUNDS)) == turn).select("text")
+        some = docs.where(F.pmod(F.xxhash64(F.lit("lm"), "row"), F.lit(ROUNDS)) == turn).select("ids")
         p, seen = average(spark, written(spark, some.mapInArrow(learn, schema), "states"), p)
         learnt += seen
         sent.destroy()
@@ -235,39 +240,43 @@ def score_documents(spark: SparkSession, docs: DataFrame, where: tuple[str, str,
     is_hot = short & (F.col("n") >= F.lit(least)) if least is not None else F.lit(False)
     top = counts.where(is_hot).toArrow()
     known = dict(zip(top["word"].to_pylist(), np.log10(top["n"].to_numpy() + 0.1).tolist(), strict=True))
-    sent = spark.sparkContext.broadcast({"known": known, "end": n_docs} | fit(spark, learnt, counts, n_docs, where))
+    sent = spark.sparkContext.broadcast((known, n_docs))
     del known, top
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one_core_each()
-        m = sent.value
-        read, tables = Words(where, m["known"]), attention.make_tables(m["p"])
-        of_end = float(np.log10(m["end"] + 0.1))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ends = sent.value
+        of, of_end = Words(where, known), float(np.log10(ends + 0.1))
         for b in batches:
-            n, hit, logs, rare, model = [], [], [], [], []
-            streams, size = [], 0
+            n, hit, logs, rare, ids = [], [], [], [], []
             for t in b.column(2):
                 ws = lower_words(t.as_py())
-                got = list(map(read.__getitem__, ws))
-                known = [x for _, x in got if x is not None]
+                got = list(map(of.__getitem__, ws))
+                met = [x for _, x in got if x is not None]
                 n.append(len(ws) + 1)
-                hit.append(len(known) + (m["end"] > 0))
-                logs.append(sum(known) + of_end)
-                rare.append([w for w, g in zip(ws, got, strict=True) if g[1] is None] if len(known) < len(ws) else [])
-                streams.append(stream([x for x, _ in got]))
-                size += len(streams[-1])
-                if size > CHUNK:
-                    model.append(attention.score(m["p"], streams, m["inputs"], m["classes"], m["within"], tables=tables))
-                    streams, size = [], 0
-            model.append(attention.score(m["p"], streams, m["inputs"], m["classes"], m["within"], tables=tables))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(logs, pa.float64()), pa.array(np.concatenate(model) / np.log(10)), pa.array(rare, pa.list_(pa.binary()))], ["doc_id", "held_out", "n_tokens", "hit", "logs", "score", "rare"])
-
-    made = d.select("doc_id", "held_out", "text").mapInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, hit bigint, logs double, score double, rare array<binary>")
-    made = written(spark, made.withColumn("row", F.monotonically_increasing_id()), "scored")
+                hit.append(len(met) + (ends > 0))
+                logs.append(sum(met) + of_end)
+                rare.append([w for w, g in zip(ws, got, strict=True) if g[1] is None] if len(met) < len(ws) else [])
+                ids.append(stream([x for x, _ in got]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(logs, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(ids, pa.binary())], ["doc_id", "held_out", "n_tokens", "hit", "logs", "rare", "ids"])
+
+    made = d.select("doc_id", "held_out", "text").mapInArrow(read, "doc_id bigint, held_out boolean, n_tokens bigint, hit bigint, logs double, rare array<binary>, ids binary")
+    made = written(spark, made.withColumn("row", F.monotonically_increasing_id()), "streams")
+    sent.destroy()
+    model = spark.sparkContext.broadcast(fit(spark, made.where(~F.col("held_out")).select("row", "ids"), counts, n_docs, where))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_core_each()
+        m = model.value
+        tables = attention.make_tables(m["p"])
+        for b in batches:
+            out = [attention.score(m["p"], some, m["inputs"], m["classes"], m["within"], tables=tables) for some in ids_in(b.column(5))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(np.concatenate([np.zeros(0), *out]) / np.log(10))], ["row", "doc_id", "held_out", "n_tokens", "base", "score"])
+
     # the other words of each document, as often as they occur there, meet their counts
     left = made.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
     met = left.join(counts.where(~is_hot), "word", "left")
     met = met.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("more"), F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more_logs"))
     norm = float(np.log10(total + 0.1 * (distinct + 1)))
-    out = made.drop("rare").join(met, "row", "left")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("hit") + F.coalesce("more", F.lit(0))).cast("bigint").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"), "score")
+    scored = made.select("row", "doc_id", "held_out", "n_tokens", F.struct("hit", "logs").alias("base"), "ids").mapInArrow(score, "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, base struct<hit:bigint,logs:double>, score double")
+    out = scored.join(met, "row", "left")
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("base.hit") + F.coalesce("more", F.lit(0))).cast("bigint").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), (F.col("base.logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"), "score")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from functools import cached_property
 
 import numpy as np
 
@@ -50,9 +51,8 @@ class Ids(Bounded):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(json_path)
+        self.json_path = json_path
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         core = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
@@ -61,6 +61,13 @@ class Ids(Bounded):
         else:
             self.quick = lambda t, _: np.array(core.encode_ordinary(t), "<u4").tobytes()
 
+    @cached_property
+    def exact(self):
+        """The reference tokenizer, loaded where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
     def __missing__(self, chunk: str) -> bytes:
         ids = self.quick(chunk, set())
         return self.keep(chunk, ids, len(ids))

@@ -169,10 +169,11 @@ def test_every_training_document_reaches_the_model(spark, odd_docs):
     from sieveline.llm.tokens import paths
 
     _, wide, rows = odd_docs
-    docs = wide.select("doc_id", "text").repartition(3)
-    m = scoring.fit(spark, docs, scoring.word_counts(docs), len(rows), paths())
     read = scoring.Words(paths())
-    assert m["seen"] == sum(len(scoring.stream([read[w][0] for w in scoring.lower_words(t)])) - 1 for _, t, *_ in rows)
+    streams = [scoring.stream([read[w][0] for w in scoring.lower_words(t)]) for _, t, *_ in rows]
+    docs = spark.createDataFrame(list(enumerate(streams)), "row bigint, ids binary").repartition(3)
+    m = scoring.fit(spark, docs, scoring.word_counts(wide), len(rows), paths())
+    assert m["seen"] == sum(len(x) // 2 - 1 for x in streams)
 
 
 def test_states_are_averaged_over_any_number_of_partitions(spark, monkeypatch):
@@ -191,7 +192,7 @@ def test_the_model_beats_a_smoothed_unigram_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r["doc_id"]: r for r in scoring.score_documents(spark, docs).select("doc_id", "held_out", "score").collect()}
     read, counts = scoring.Words(paths()), np.full(scoring.SIZE, 0.1)
-    texts = {r["doc_id"]: scoring.stream([read[w][0] for w in scoring.lower_words(r["text"])])[1:] for r in docs.select("doc_id", "text").collect()}
+    texts = {r["doc_id"]: np.frombuffer(scoring.stream([read[w][0] for w in scoring.lower_words(r["text"])]), "<u2")[1:] for r in docs.select("doc_id", "text").collect()}
     for d, ids in texts.items():
         if not got[d]["held_out"]:
             counts += np.bincount(ids, minlength=scoring.SIZE)
