@@ -48,7 +48,7 @@ class Ids(Bounded):
     """chunk -> its ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
-        super().__init__()
+        super().__init__(96 << 20)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
 
