@@ -7,7 +7,8 @@ itself, so it is not decoded. Single characters are decoded together with the wo
 more letters each, with no single letter among them, is not put together. The score is a logistic model over words and word beginnings of restored texts.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 5 is not 0, from about TRAIN_ROWS of them drawn by
-a hash of their id (a documented bound); all else covers all documents. Scores use the text alone.
+a hash of their id (a documented bound), copies of a text counted once; a feature must stand in the share SUPPORT of those labelled 1. All else
+covers all documents. Scores use the text alone.
 
 Null and empty texts get the score of a text without signs. A null doc_id counts as the text ''. Without labels of both kinds
 the score is the smoothed share of label 1. Repeated rows are each scored; of repeated labels the largest counts.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import dropped, written
 from sieveline.llm.tokens import Bounded
 
-TRAIN_ROWS, FEATURES = 20_000, 1500
+TRAIN_ROWS, FEATURES, SUPPORT = 20_000, 1500, 0.01
 #: Codes: 0 anything that is no letter, 1-26 a-z, 27 other letters. ORDER letters make a gram.
 SIZE, ORDER = 28, 4
 #: What a look-alike character may stand for; separators that may stand for nothing.
@@ -257,7 +258,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
     n = known.count()
     share = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) < int(min(1.0, rows / max(1, n)) * (1 << 30))
     # about `rows` rows of two numbers: small enough to send to every task
-    sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known.where(share)), "doc_id").select("text", "toxic")
+    sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known.where(share)), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))  # copies say a thing once
     sample = written(spark, sample, "labelled")
     sent = sc.broadcast(cost)
 
@@ -274,7 +275,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
     counts = sample.mapInArrow(count, "feature string, pos bigint, neg bigint").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # kept: features seen in enough documents of label 1 and far more often there, the strongest first
     rate1, rate0 = (F.col("pos") + 0.1) / (pos + 1), (F.col("neg") + 0.1) / (neg + 1)
-    kept = counts.where((F.col("pos") >= max(4.0, 0.004 * pos)) & (rate1 > 4 * rate0)).orderBy(F.desc(F.col("pos") * F.log(rate1 / rate0)), "feature").limit(FEATURES).collect()
+    kept = counts.where((F.col("pos") >= max(4.0, SUPPORT * pos)) & (rate1 > 4 * rate0)).orderBy(F.desc(F.col("pos") * F.log(rate1 / rate0)), "feature").limit(FEATURES).collect()
     names = {r["feature"]: i for i, r in enumerate(kept)}
     sent_names = sc.broadcast(names)
 

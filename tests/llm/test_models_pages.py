@@ -47,6 +47,15 @@ def test_toxicity_reads_through_disguise(spark):
     assert {r["predicted"] for r in toxicity.score_documents(spark, d.limit(3), y.limit(0)).collect()} == {0}
 
 
+def test_copies_of_a_toxic_text_do_not_teach_its_other_words(spark):
+    docs, labels = toxic_corpus()
+    copies = [(5000 + i, "the quarzblick was an idiot and a moron") for i in range(200)]
+    d = spark.createDataFrame([*docs, *copies, (9001, "this quarzblick is about the " + docs[1][1])], "doc_id bigint, text string")
+    y = spark.createDataFrame(labels + [(i, 1) for i, _ in copies], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(spark, d, y).collect()}
+    assert got[9001] == 0 and got[5000] == 1
+
+
 def test_single_doublings_and_pieces_are_read():
     cost = toxicity.model(toxicity.count_grams(["the idiot and the moron told it all to him, stupid as he was"] * 50))
     read = toxicity.Reader(cost)
