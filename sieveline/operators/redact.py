@@ -108,8 +108,9 @@ def redact_jsonl(df: DataFrame, rules: list[Rule], keys: bool = True, text: str
 
     A map-only step: the lines of a text leave the rules one after another, in the task that split it, and are joined there. A null text stays null.
     """
+    busy = (F.size("summary.counts") > 0) | (F.col("summary.pairs") > 0) | has_key_concern()
     marked = df.select(*(F.col(c).alias(f"by{i}") for i, c in enumerate(by)), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"), (F.lit(True) if by_line is None else by_line).alias("by_line"))
-    each = redact_lines(marked, rules, keys, "text", F.col("by_line")).select("row", *(f"by{i}" for i in range(len(by))), "redacted", "line_no", "refused", "summary", ((F.size("summary.counts") > 0) | (F.col("summary.pairs") > 0) | has_key_concern()).alias("busy"))
+    each = redact_lines(marked, rules, keys, "text", F.col("by_line")).select("row", *(f"by{i}" for i in range(len(by))), "redacted", "line_no", "refused", F.when(busy, F.col("summary")).alias("summary"), busy.alias("busy"))
     first, last = 1 + len(by), 4 + len(by)
     names = [*by, "redacted", "summary", "unsafe_lines"]
     kinds = [df.schema[c].dataType.simpleString() for c in by]
