@@ -1,10 +1,11 @@
 """Best-fit packing of tokenized documents by hierarchical residual packing.
 
-Each partition packs its pieces best-fit, longest first. Nearly full bins are done. Of the rest, each partition's
+Each partition packs its pieces best-fit, longest first. Full bins are done. Of the rest, each partition's
 underfull bins go up a tree as items: groups of FAN partitions repeat best fit over them until one group is
-left. After best fit at most one bin of a group is half empty or less, so a group needs to hand up that one
-and a choice of hosts for others; it hands up OPEN hosts at most, evenly over their free room, and closes the others
-(no row is dropped; a closed bin is just a sequence). So every task's input is bounded.
+left. After best fit at most one bin of a group is half full or less, and two fuller ones never share a sequence. So a merge
+of FAN groups moves FAN bins at most, and of hosts with the same free room it takes FAN at most: a group hands up
+that many for each level above it, of every free room there is. The others stay behind, as no merge could come to them:
+sequences are as many as if every bin went up. So every task's input is bounded, by the capacity and the levels.
 
 Documents: null text counts as empty, an empty text is its end id alone. Documents longer than
 `capacity` are cut into pieces of that length, of which the first may be shorter. Repeated rows are packed each.
@@ -25,8 +26,8 @@ from sieveline.llm.common import written
 from sieveline.llm.tokens import ids_of, paths
 
 CAPACITY, END = 2048, 0
-#: Pieces a leaf partition packs (about), groups merged at once, hosts handed up, free share that counts as nearly full.
-LEAF, FAN, OPEN, NEARLY = 50_000, 16, 256, 0.02
+#: Pieces a leaf partition packs (about), groups merged at once.
+LEAF, FAN = 50_000, 16
 #: Mapping rows that may be broadcast.
 SMALL = 200_000
 
@@ -83,18 +84,17 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(loads, np.int64)
 
 
-def handed_up(loads: np.ndarray, capacity: int) -> np.ndarray:
-    """Which bins go up the tree: those half empty or more, and OPEN of the others that are not nearly full, evenly over their room."""
+def handed_up(loads: np.ndarray, capacity: int, levels: int = 1) -> np.ndarray:
+    """Which bins go up the tree with so many levels above: those half full or less, and of the others with room FAN a level for each load."""
     up = loads * 2 <= capacity
-    hosts = np.flatnonzero(~up & (loads < capacity * (1 - NEARLY)))
+    hosts = np.flatnonzero(~up & (loads < capacity))
     hosts = hosts[np.argsort(loads[hosts], kind="stable")]
-    if len(hosts) > OPEN:
-        hosts = hosts[np.linspace(0, len(hosts) - 1, OPEN).astype(int)]
-    up[hosts] = True
+    nth = np.arange(len(hosts)) - np.searchsorted(loads[hosts], loads[hosts])
+    up[hosts[nth < FAN * levels]] = True
     return up
 
 
-def _leaf(capacity: int):
+def _leaf(capacity: int, levels: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if not got:
@@ -102,21 +102,21 @@ def _leaf(capacity: int):
         t = pa.Table.from_batches(got).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         bins, offsets, loads = best_fit(t["length"].to_numpy(), capacity)
         base = TaskContext.get().partitionId() << 32
-        up = handed_up(loads, capacity)
+        up = handed_up(loads, capacity, levels)
         out = t.append_column("bin", pa.array(bins + base)).append_column("offset", pa.array(offsets)).append_column("load", pa.array(loads[bins])).append_column("up", pa.array(up[bins]))
         yield from out.combine_chunks().to_batches()
 
     return pack
 
 
-def _merge(capacity: int):
+def _merge(capacity: int, levels: int):
     def merge(t: pa.Table) -> pa.Table:
         t = t.sort_by([("load", "descending"), ("bin", "ascending")])
         ids = t["bin"].to_numpy()
         bins, offsets, loads = best_fit(t["load"].to_numpy(), capacity)
         heads = np.empty(len(loads), np.int64)
         heads[bins[offsets == 0]] = ids[offsets == 0]
-        return pa.table({"bin": pa.array(ids), "into": pa.array(heads[bins]), "moved": pa.array(offsets), "load": pa.array(loads[bins]), "up": pa.array(handed_up(loads, capacity)[bins])})
+        return pa.table({"bin": pa.array(ids), "into": pa.array(heads[bins]), "moved": pa.array(offsets), "load": pa.array(loads[bins]), "up": pa.array(handed_up(loads, capacity, levels)[bins])})
 
     return merge
 
@@ -128,13 +128,13 @@ def pack(spark: SparkSession, made: DataFrame, capacity: int = CAPACITY, leaf: i
     leaves = max(1, -(-part.count() // leaf))
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, offset bigint, load bigint, up boolean"
     # dealt out in turn, so that no key can be hot
-    placed = written(spark, part.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(leaves).mapInArrow(_leaf(capacity), schema), "leaves")
+    placed = written(spark, part.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(leaves).mapInArrow(_leaf(capacity, _levels(leaves, 1)), schema), "leaves")
     bins = placed.where("up and offset = 0").select("bin", "load", F.shiftright("bin", 32).alias("group"))
     groups, moves = leaves, None
     while groups > 1:
         groups = -(-groups // FAN)
         bins = bins.withColumn("group", F.floor(F.col("group") / FAN).cast("bigint"))
-        turn = written(spark, bins.groupBy("group").applyInArrow(_merge(capacity), "bin bigint, into bigint, moved bigint, load bigint, up boolean").withColumn("group", F.lit(None).cast("bigint")), "merge")
+        turn = written(spark, bins.groupBy("group").applyInArrow(_merge(capacity, _levels(groups, 1)), "bin bigint, into bigint, moved bigint, load bigint, up boolean").withColumn("group", F.lit(None).cast("bigint")), "merge")
         step = turn.where("bin <> into").select("bin", "into", "moved")
         if moves is None:
             moves = step

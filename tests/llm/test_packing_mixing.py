@@ -78,6 +78,31 @@ def test_merging_over_several_levels(spark, leaf):
     assert len(by_seq) <= len(loads) * 1.25
 
 
+def up_the_tree(groups, capacity, chosen):
+    """The number of sequences when groups of FAN hand up the bins chosen(loads, levels above), until one group is left."""
+    done = 0
+    while True:
+        levels = packing._levels(len(groups), 1)
+        up = [chosen(g, levels) for g in groups]
+        if levels == 0:
+            return done + sum(map(len, groups))
+        done += sum(int((~u).sum()) for u in up)
+        kept = [g[u] for g, u in zip(groups, up, strict=True)]
+        merged = [np.concatenate(kept[i : i + packing.FAN]) for i in range(0, len(kept), packing.FAN)]
+        groups = [packing.best_fit(np.sort(m)[::-1], capacity)[2] for m in merged]
+
+
+def test_no_host_that_a_bin_could_take_stays_behind():
+    r = np.random.default_rng(8)
+    cases = [[np.array([70] * 3 + [90] * 1000), *([np.array([30])] * 3)], [np.array([97] * 400 + [99] * 400), np.array([1]), np.array([3]), np.array([2])]]
+    cases += [[np.concatenate([r.integers(lo, 100, r.integers(0, 600)), r.integers(1, 50, 1)]) for lo in r.integers(51, 100, n)] for n in (16, 40, 300)]
+    for case in cases:
+        whole = up_the_tree(case, 100, lambda g, _: np.ones(len(g), bool))
+        assert up_the_tree(case, 100, lambda g, levels: packing.handed_up(g, 100, *([levels] if levels > 1 else []))) == whole
+    # and what goes up is bounded by the room there is, not by the bins
+    assert packing.handed_up(r.integers(51, 100, 100_000), 100, 2).sum() <= 49 * packing.FAN * 2
+
+
 def brute_targets(size):
     names = sorted((s for s in size if s is not None)) + [None] * (None in size)
     w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
