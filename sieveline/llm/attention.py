@@ -12,7 +12,7 @@ import numpy as np
 T, STEP, DIM, GROUPS, MEMBERS, BATCH = 32, 24, 16, 8, 8, 128
 MASK = np.where(np.tril(np.ones((T, T), bool)), np.float32(0), np.float32(-1e9))
 LAG = np.where(MASK == 0, np.arange(T)[:, None] - np.arange(T)[None, :], 0)
-ONES, GROUP_ONES = np.ones((T, 1), np.float32), np.ones((GROUPS, 1), np.float32)
+GROUP_ONES = np.ones((GROUPS, 1), np.float32)
 #: Exponents are held below this, so that sums of them stay finite.
 STEEP = np.float32(60)
 H = 2 * DIM + 1
@@ -29,14 +29,12 @@ def new_parameters(inputs: int, class_share: np.ndarray, seed: int = 5) -> dict[
     return p
 
 
-def attend(qkv: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """qkv (B, T, 3 DIM) -> what the head brings to each place (B T, DIM), unnormalized weights (B, T, T), their sums (B T, 1)."""
-    s = np.matmul(qkv[..., :DIM], qkv[..., DIM : 2 * DIM].transpose(0, 2, 1))
+def attend(q: np.ndarray, kv: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """q (B, n, DIM) and keys and values with a last column of ones (B, T, 2 DIM + 1) -> what the unnormalized weights bring (B, n, DIM) and their sums, and they (B, n, T)."""
+    s = np.matmul(q, kv[..., :DIM].transpose(0, 2, 1))
     s += bias
-    np.minimum(s, STEEP, out=s)
-    np.exp(s, out=s)
-    total = s.reshape(-1, T) @ ONES
-    return np.matmul(s, qkv[..., 2 * DIM :]).reshape(-1, DIM) / total, s, total
+    exponents(s)
+    return np.matmul(s, kv[..., DIM:]), s
 
 
 def scaled(a: np.ndarray) -> np.ndarray:
@@ -44,17 +42,32 @@ def scaled(a: np.ndarray) -> np.ndarray:
     return np.concatenate([a[:, :DIM] * np.float32(DIM**-0.5), a[:, DIM:]], 1)
 
 
-def heads(p: dict, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponents of the group and the member logits of rows h, sorted by their target's group; bounds are the groups' first rows."""
-    eg, em = h @ p["G"], np.empty((len(h), MEMBERS), np.float32)
+def projected(e: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Queries, keys and values of e (N, DIM), and a column of ones."""
+    out = np.empty((len(e), 3 * DIM + 1), e.dtype)
+    out[:, -1] = 1
+    np.matmul(e, a, out=out[:, :-1])
+    return out
+
+
+def by_group(p: dict) -> np.ndarray:
+    """For each group the columns of both heads, group logits and the group's member logits: (GROUPS, H, GROUPS + MEMBERS)."""
+    return np.concatenate([np.broadcast_to(p["G"], (GROUPS, H, GROUPS)), p["M"]], 2)
+
+
+def heads(w: np.ndarray, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """h, sorted by group, by the columns of each row's group; bounds are the groups' first rows."""
+    z = np.empty((len(h), w.shape[2]), h.dtype)
     for g in range(GROUPS):
-        a, z = bounds[g], bounds[g + 1]
-        if a < z:
-            np.matmul(h[a:z], p["M"][g], out=em[a:z])
-    for e in (eg, em):
-        np.minimum(e, STEEP, out=e)
-        np.exp(e, out=e)
-    return eg, em
+        a, b = bounds[g], bounds[g + 1]
+        if a < b:
+            np.matmul(h[a:b], w[g], out=z[a:b])
+    return z
+
+
+def exponents(z: np.ndarray) -> np.ndarray:
+    np.minimum(z, STEEP, out=z)
+    return np.exp(z, out=z)
 
 
 def sorted_by_group(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,48 +78,68 @@ def loss_and_gradients(p: dict, x: np.ndarray, y: np.ndarray, mask: np.ndarray)
     """Mean negative log likelihood in nats of classes y (B, T) where mask, and its gradients."""
     a, n = scaled(p["A"]), max(1, int(np.count_nonzero(mask)))
     e = np.take(p["E"], x.reshape(-1), axis=0)
-    qkv = (e @ a).reshape(*x.shape, 3 * DIM)
-    o, s, total = attend(qkv, p["R"][LAG] + MASK)
+    qkv = projected(e, a).reshape(*x.shape, -1)
+    q, k, v = qkv[..., :DIM], qkv[..., DIM : 2 * DIM], qkv[..., 2 * DIM :]
+    o, s = attend(q, qkv[..., DIM:], p["R"][LAG] + MASK)
+    o = o.reshape(-1, DIM + 1)
+    total = np.repeat(o[:, DIM:], DIM + 1, axis=1)
+    o /= total  # its last column becomes the heads' constant
     rows = np.flatnonzero(mask)
-    goal = y.reshape(-1)[rows]
-    order, bounds = sorted_by_group((goal // MEMBERS).astype(np.uint8))
+    goal = y.reshape(-1)[rows].astype(np.uint8)
+    order, bounds = sorted_by_group(goal // MEMBERS)
     rows, goal = rows[order], goal[order]
-    group, member = goal // MEMBERS, goal % MEMBERS
-    h = np.empty((len(rows), H), np.float32)
-    h[:, :DIM], h[:, DIM:-1], h[:, -1] = e[rows], o[rows], 1
-    dg, dm = heads(p, h, bounds)
-    at, loss = np.arange(len(rows)), 0.0
-    for d, to in ((dg, group), (dm, member)):
-        d /= d @ GROUP_ONES
-        picked = d[at, to]
-        loss -= float(np.log(picked + 1e-30).sum()) / n
-        d[at, to] = picked - 1
-        d /= np.float32(n)
-    grad = {"G": h.T @ dg, "M": np.zeros_like(p["M"])}
-    dh = dg @ p["G"].T
+    h = np.take(np.concatenate([e, o], 1), rows, axis=0)
+    w = by_group(p)
+    d = exponents(heads(w, h, bounds))
+    # both softmaxes, over the number of predictions
+    flat = d.reshape(-1, MEMBERS)
+    flat /= (flat @ GROUP_ONES) * np.float32(n)
+    at = np.empty((2, len(rows)), np.int64)
+    at[:] = np.arange(0, d.size, GROUPS + MEMBERS)
+    at[0] += goal // MEMBERS
+    at[1] += goal % MEMBERS + np.uint8(GROUPS)
+    picked = np.take(d, at)
+    loss = -float(np.log(picked * n + 1e-30).sum()) / n
+    np.put(d, at, picked - np.float32(1 / n))
+    # the last row is for places that are masked, the last column for what the weights' normalization takes off
+    to_o = w[:, DIM:].copy()
+    to_o[:, -1] = 0
+    dw, de, do = np.zeros_like(w), np.empty((len(rows) + 1, DIM), e.dtype), np.empty((len(rows) + 1, DIM + 1), e.dtype)
+    de[-1], do[-1] = 0, 0
     for g in range(GROUPS):
         u, z = bounds[g], bounds[g + 1]
         if u < z:
-            grad["M"][g] = h[u:z].T @ dm[u:z]
-            dh[u:z] += dm[u:z] @ p["M"][g].T
-    de, do = np.zeros_like(e), np.zeros_like(o)
-    de[rows], do[rows] = dh[:, :DIM], dh[:, DIM:-1]
-    s *= (1 / total).reshape(*x.shape, 1)
-    do3 = do.reshape(*x.shape, DIM)
-    ds = np.matmul(do3, qkv[..., 2 * DIM :].transpose(0, 2, 1))
-    ds -= np.einsum("ij,ij->i", do, o).reshape(*x.shape, 1)
+            np.matmul(h[u:z].T, d[u:z], out=dw[g])
+            np.matmul(d[u:z], w[g, :DIM].T, out=de[u:z])
+            np.matmul(d[u:z], to_o[g].T, out=do[u:z])
+    grad = {"G": dw[:, :, :GROUPS].sum(0), "M": np.ascontiguousarray(dw[:, :, GROUPS:])}
+    back_to = np.full(len(e), len(rows))
+    back_to[rows] = np.arange(len(rows))
+    de, do = np.take(de, back_to, axis=0), np.take(do, back_to, axis=0)
+    do /= total
+    do[:, DIM] = -np.einsum("ij,ij->i", do, o)
+    do = do.reshape(*x.shape, -1)
+    ds = np.matmul(do, v.transpose(0, 2, 1))
     ds *= s
     grad["R"] = np.bincount(LAG.ravel(), ds.sum(0).ravel(), T).astype(np.float32)
-    back = np.empty_like(qkv)
-    back[..., :DIM] = np.matmul(ds, qkv[..., DIM : 2 * DIM])
-    back[..., DIM : 2 * DIM] = np.matmul(ds.transpose(0, 2, 1), qkv[..., :DIM])
-    back[..., 2 * DIM :] = np.matmul(s.transpose(0, 2, 1), do3)
-    back = back.reshape(-1, 3 * DIM)
-    de += back @ a.T
-    grad["A"] = e.T @ back
+    back = np.empty((*x.shape, 3 * DIM), e.dtype)
+    np.matmul(ds, k, out=back[..., :DIM])
+    np.matmul(ds.transpose(0, 2, 1), q, out=back[..., DIM : 2 * DIM])
+    np.matmul(s.transpose(0, 2, 1), do[..., :DIM], out=back[..., 2 * DIM :])
+    de += back.reshape(-1, 3 * DIM) @ a.T
+    # in short runs, which the product's library does faster
+    runs = max(1, len(e) // 512)
+    cut = len(e) // runs * runs
+    grad["A"] = np.matmul(e[:cut].reshape(runs, -1, DIM).transpose(0, 2, 1), back.reshape(-1, 3 * DIM)[:cut].reshape(runs, -1, 3 * DIM)).sum(0)
+    if cut < len(e):
+        grad["A"] += e[cut:].T @ back.reshape(-1, 3 * DIM)[cut:]
     grad["A"][:, :DIM] *= np.float32(DIM**-0.5)
-    at = x.reshape(-1, 1) * DIM + np.arange(DIM)
-    grad["E"] = np.bincount(at.ravel(), de.ravel(), p["E"].size).astype(np.float32).reshape(p["E"].shape)
+    # rows of the same input, next to each other, are summed
+    order = np.argsort(x.reshape(-1).astype(np.uint16 if len(p["E"]) < 1 << 16 else np.int64), kind="stable")
+    some = np.take(x.reshape(-1), order)
+    first = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+    grad["E"] = np.zeros_like(p["E"])
+    grad["E"][some[first]] = np.add.reduceat(np.take(de, order, axis=0), first, axis=0)
     return loss, grad
 
 
@@ -120,22 +153,28 @@ class Trainer:
     """Adam steps over batches of windows; each window of each id sequence given is learnt once."""
 
     def __init__(self, p: dict, rate: float = 0.01, seed: int = 3):
-        self.p, self.rate, self.k, self.seen = {n: a.copy() for n, a in p.items()}, rate, 0, 0
-        self.m, self.v = ({n: np.zeros_like(a) for n, a in p.items()} for _ in range(2))
+        self.rate, self.k, self.seen = rate, 0, 0
+        self.flat = np.concatenate([a.ravel() for a in p.values()])
+        ends = np.cumsum([a.size for a in p.values()])
+        self.p = {n: self.flat[z - a.size : z].reshape(a.shape) for (n, a), z in zip(p.items(), ends, strict=True)}
+        self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)
         self.random = np.random.default_rng(seed)
 
     def step(self, g: dict) -> None:
         self.k += 1
         rate, root = np.float32(self.rate / (1 - 0.9**self.k)), np.float32((1 - 0.99**self.k) ** -0.5)
-        for n, a in self.p.items():
-            m, v, d = self.m[n], self.v[n], g[n]
-            m += np.float32(0.1) * (d - m)
-            d *= d
-            v += np.float32(0.01) * (d - v)
-            d = np.sqrt(v)
-            d *= root
-            d += np.float32(1e-8)
-            a -= rate * m / d
+        d = np.concatenate([g[n].ravel() for n in self.p])
+        self.m += np.float32(0.1) * (d - self.m)
+        d *= d
+        d -= self.v
+        d *= np.float32(0.01)
+        self.v += d
+        np.sqrt(self.v, out=d)
+        d *= root
+        d += np.float32(1e-8)
+        np.divide(self.m, d, out=d)
+        d *= rate
+        self.flat -= d
 
     def learn(self, streams: list[np.ndarray], inputs_of: np.ndarray, class_of: np.ndarray) -> float:
         """One pass over the windows of these id sequences (each with its end ids), in shuffled order; the last step's loss."""
@@ -159,10 +198,11 @@ class Trainer:
 
 
 def make_tables(p: dict) -> dict:
-    """For scoring: what each input alone gives to query, key, value and to both heads, and the heads' parts for what attention brings."""
-    by_member = p["M"].transpose(1, 0, 2).reshape(H, -1)
-    rows = lambda m: (p["E"] @ m[:DIM] + m[-1]).astype(np.float32)
-    return {"qkv": (p["E"] @ scaled(p["A"])).astype(np.float32), "bias": (p["R"][LAG] + MASK).astype(np.float32), "group": rows(p["G"]), "member": rows(by_member).reshape(-1, MEMBERS), "from_head": np.concatenate([p["G"][DIM:-1], by_member[DIM:-1]], 1).astype(np.float32)}
+    """For scoring: what each input alone gives to query, key, value and, for each group, to both heads, and the heads' parts for what attention brings."""
+    w = by_group(p)
+    qkv = projected(p["E"], scaled(p["A"])).astype(np.float32)
+    alone = np.einsum("id,gdc->igc", p["E"], w[:, :DIM]).astype(np.float32)
+    return {"q": np.ascontiguousarray(qkv[:, :DIM]), "kv": np.ascontiguousarray(qkv[:, DIM:]), "bias": (p["R"][LAG] + MASK).astype(np.float32), "alone": alone.reshape(-1, GROUPS + MEMBERS), "from_head": np.ascontiguousarray(w[:, DIM:], np.float32)}
 
 
 def score(p: dict, streams: list[np.ndarray], inputs_of: np.ndarray, class_of: np.ndarray, within: np.ndarray, tables: dict | None = None) -> np.ndarray:
@@ -181,21 +221,26 @@ def score(p: dict, streams: list[np.ndarray], inputs_of: np.ndarray, class_of: n
     whole = np.concatenate([*streams, np.full(T + 1, streams[0][0])])
     starts, froms, sizes, owner = map(np.concatenate, (starts, froms, sizes, owner))
     out, places = np.zeros(len(streams)), np.arange(T)
-    x_all, c_all, w_all = np.take(inputs_of, whole).astype(np.int64), np.take(class_of, whole).astype(np.int64), np.take(within, whole)
-    for i in range(0, len(starts), BATCH):
-        at = starts[i : i + BATCH, None] + places
-        x = np.take(x_all, at)
-        o, _, _ = attend(np.take(t["qkv"], x, axis=0), t["bias"])
-        rows = np.flatnonzero((places >= froms[i : i + BATCH, None]) & (places < sizes[i : i + BATCH, None]))
-        goal, x, n = np.take(at, rows) + 1, np.take(x, rows), np.arange(len(rows))
-        c = np.take(c_all, goal)
-        group = c // MEMBERS
-        z = np.take(o, rows, axis=0) @ t["from_head"]
-        eg = z[:, :GROUPS] + np.take(t["group"], x, axis=0)
-        em = np.take(z.reshape(-1, MEMBERS), n * (1 + GROUPS) + 1 + group, axis=0) + np.take(t["member"], x * GROUPS + group, axis=0)
-        for e in (eg, em):
-            np.minimum(e, STEEP, out=e)
-            np.exp(e, out=e)
-        got = np.log(eg[n, group] * em[n, c % MEMBERS] / ((eg @ GROUP_ONES) * (em @ GROUP_ONES))[:, 0] + np.float32(1e-37)) + np.take(w_all, goal)
-        out += np.bincount(owner[i + rows // T], got, len(streams))
+    x_all, c_all, w_all = np.take(inputs_of, whole).astype(np.int64), np.take(class_of, whole).astype(np.uint8), np.take(within, whole)
+    # where only the last places of a window are scored, only those ask
+    for skip, some in ((0, np.flatnonzero(froms == 0)), (T - STEP, np.flatnonzero(froms))):
+        for i in range(0, len(some), BATCH):
+            mine = some[i : i + BATCH]
+            at = starts[mine, None] + places
+            x = np.take(x_all, at)
+            rows = np.flatnonzero(places[skip:] < sizes[mine, None])
+            o, _ = attend(np.take(t["q"], x[:, skip:], axis=0), np.take(t["kv"], x, axis=0), t["bias"][skip:])
+            goal = np.take(at[:, skip:], rows) + 1
+            c = np.take(c_all, goal)
+            order, bounds = sorted_by_group(c // MEMBERS)
+            rows, goal, c = rows[order], goal[order], c[order]
+            o = np.take(o.reshape(-1, DIM + 1), rows, axis=0)
+            o /= np.repeat(o[:, DIM:], DIM + 1, axis=1)
+            z, group = heads(t["from_head"], o, bounds), c // MEMBERS
+            z += np.take(t["alone"], np.take(x[:, skip:], rows) * GROUPS + group, axis=0)
+            total = (exponents(z).reshape(-1, MEMBERS) @ GROUP_ONES).reshape(-1, 2)
+            n = np.arange(0, z.size, GROUPS + MEMBERS)
+            picked = np.take(z, n + group) * np.take(z, n + GROUPS + c % MEMBERS)
+            got = np.log(picked / (total[:, 0] * total[:, 1]) + np.float32(1e-37)) + np.take(w_all, goal)
+            out += np.bincount(owner[mine[rows // (T - skip)]], got, len(streams))
     return out

@@ -13,11 +13,12 @@ formula as far as it has a value (0 training tokens and no words: N + 0.1), and
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,10 @@ OWN, CLASSES, RARE, BUCKETS = 2048, 56, 8, 64
 FAN = 64
 #: Ids learnt or scored at once.
 CHUNK = 200_000
+#: Bytes of text cut into words at once; a longer text is cut alone.
+LOT = 4 << 20
+#: White space other than a space.
+OTHER_SPACE = re.compile(r"[^\S ]")
 END, SIZE = 50256, 50257
 
 
@@ -41,17 +46,90 @@ def lower_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def lots(b: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The rows of b in runs of about LOT bytes of their column `text`."""
+    lot = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy().astype(np.int64)) // LOT
+    cuts = [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), len(lot)]
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        if a < z:
+            yield b.slice(a, z - a)
+
+
+def told_apart(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words (binary) of some texts, which of them each word is, and where each text's words begin and the last one's end."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    full = pc.not_equal(pc.binary_length(cut.values), 0)  # white space at an end leaves an empty one there
+    begins = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[cut.offsets.to_numpy()]
+    coded = cut.values.filter(full).dictionary_encode()
+    return coded.dictionary.cast(pa.binary()), coded.indices.to_numpy(), begins
+
+
 class Words(Bounded):
     """word -> (bytes of its ids, read after a space; what `known` has for it)."""
 
     def __init__(self, where: tuple[str, str, str], known: dict[bytes, float] | None = None):
         super().__init__()
-        self.quick, self.known = ids_of(where).quick, known or {}
+        self.quick, self.spaced, self.known = ids_of(where).quick, ids_of(where).spaced, known or {}
 
     def __missing__(self, word: bytes) -> tuple[bytes, float | None]:
         ids = self.quick(" " + word.decode("utf-8", "replace"), set())
         return self.keep(word, (ids, self.known.get(word)), len(ids))
 
+    def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each word begin, how many they are): words are tokenized all at once, as no id reaches over a space.
+
+        Those with other white space in them are tokenized each, after the rest."""
+        apart: list[int] = []
+        plain = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), b" ")[0].as_py().decode("utf-8", "replace")
+        if OTHER_SPACE.search(plain):
+            each = words.to_pylist()
+            apart = [i for i, w in enumerate(each) if OTHER_SPACE.search(w.decode("utf-8", "replace"))]
+            plain = b" ".join(np.delete(np.array(each, object), apart)).decode("utf-8", "replace")
+        together = np.delete(np.arange(len(words)), apart)
+        ids = np.frombuffer(self.quick(" " + plain, set()) if len(together) else b"", "<u4")
+        first, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        first[together] = np.flatnonzero(self.spaced[ids])
+        size[together] = np.diff(first[together], append=len(ids))
+        if apart:
+            raw = [self[each[i]][0] for i in apart]
+            size[apart] = [len(x) // 4 for x in raw]
+            first[apart] = len(ids) + np.cumsum(size[apart]) - size[apart]
+            ids = np.concatenate([ids, np.frombuffer(b"".join(raw), "<u4")])
+        return ids, first, size
+
+
+def gathered(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of values one after another, each by its first place and its size; where each begins there, and the end."""
+    upto = np.concatenate([[0], np.cumsum(size)])
+    at = np.repeat((first - upto[:-1]).astype(np.int32 if max(upto[-1], len(values)) < 2**31 else np.int64), size)
+    at += np.arange(upto[-1], dtype=at.dtype)
+    return np.take(values, at), upto
+
+
+def as_binary(values: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """Binary values from an array that holds them all, by where each begins and the end."""
+    return pa.Array.from_buffers(pa.large_binary(), len(begins) - 1, [None, pa.py_buffer((begins * values.itemsize).astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
+
+
+def read_words(texts: pa.Array, of: Words, known: tuple[pa.Array, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """Of each text: its number of words, of those known (words, values) and the sum of their values, the other words with their numbers, and its stream."""
+    words, which, begins = told_apart(texts)
+    n, k, end = np.diff(begins), len(texts), len(words)
+    doc = np.repeat(np.arange(k), n)
+    place = pc.fill_null(pc.index_in(words, known[0]), -1).to_numpy()
+    logs, found = np.append(known[1], 0.0)[place], place >= 0
+    hit = found[which]
+    # each text's other words: pairs of text and word, as often as they occur
+    pairs, times = np.unique(doc[~hit] * max(1, end) + which[~hit], return_counts=True)
+    rare = pa.StructArray.from_arrays([words.take(pa.array(pairs % max(1, end))), pa.array(times, pa.int64())], ["word", "k"])
+    rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs, np.arange(k + 1) * max(1, end)), pa.int32()), rare)
+    # each text's ids: those of its words between two ends
+    ids, first, size = of.ids(words)
+    order = np.full(len(which) + 2 * k, end, np.int32)
+    order[np.arange(len(which)) + 2 * doc + 1] = which
+    streams, upto = gathered(np.append(ids, END).astype("<u2"), np.append(first, len(ids))[order], np.append(size, 1)[order])
+    return n, np.bincount(doc, hit, k).astype(np.int64), np.bincount(doc, logs[which], k), rare, as_binary(streams, upto[begins + 2 * np.arange(k + 1)])
+
 
 def stream(ids: list[bytes]) -> bytes:
     """END, the ids of the words, END, in two bytes each."""
@@ -76,17 +154,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word (binary), n over these documents; counted in each partition before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(n: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.binary()), pa.array(n.values(), pa.int64())], ["word", "n"])
+        held: list[pa.Table] = []
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["word", "n"])
 
-        n: Counter = Counter()
         for b in batches:
-            for t in b.column(0):
-                n.update(lower_words(t.as_py()))
-                if len(n) > KEYS:
-                    yield out(n)
-                    n = Counter()
-        yield out(n)
+            for lot in lots(b, 0):
+                words, which, _ = told_apart(lot.column(0))
+                held.append(pa.table({"word": words, "n": pa.array(np.bincount(which, minlength=len(words)), pa.int64())}))
+                if sum(map(len, held)) > 2 * KEYS:
+                    held = [summed()]
+                    if len(held[0]) > KEYS:
+                        yield from held.pop().to_batches()
+        if held:
+            yield from summed().to_batches()
 
     return docs.select(F.col("text").cast("string")).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -148,10 +230,9 @@ def fit(spark: SparkSession, docs: DataFrame, counts: DataFrame, n_docs: int, wh
     sc = spark.sparkContext
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ids_of(where)
+        of = Words(where)
         for b in batches:
-            raw = [ids.quick(" " + w.as_py().decode("utf-8", "replace"), set()) for w in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), b.column(1)], ["ids", "n"])
+            yield pa.RecordBatch.from_arrays([as_binary(*gathered(*of.ids(b.column(0)))), b.column(1)], ["ids", "n"])
 
     spelt = written(spark, counts.mapInArrow(spell, "ids binary, n bigint"), "spelt")
 
@@ -239,27 +320,19 @@ def score_documents(spark: SparkSession, docs: DataFrame, where: tuple[str, str,
         least = r["n"]
     is_hot = short & (F.col("n") >= F.lit(least)) if least is not None else F.lit(False)
     top = counts.where(is_hot).toArrow()
-    known = dict(zip(top["word"].to_pylist(), np.log10(top["n"].to_numpy() + 0.1).tolist(), strict=True))
+    known = (pa.array(top["word"].to_pylist(), pa.binary()), np.log10(top["n"].to_numpy() + 0.1))
     sent = spark.sparkContext.broadcast((known, n_docs))
     del known, top
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ends = sent.value
-        of, of_end = Words(where, known), float(np.log10(ends + 0.1))
+        of, of_end = Words(where), float(np.log10(ends + 0.1))
         for b in batches:
-            n, hit, logs, rare, ids = [], [], [], [], []
-            for t in b.column(2):
-                ws = lower_words(t.as_py())
-                got = list(map(of.__getitem__, ws))
-                met = [x for _, x in got if x is not None]
-                n.append(len(ws) + 1)
-                hit.append(len(met) + (ends > 0))
-                logs.append(sum(met) + of_end)
-                rare.append([w for w, g in zip(ws, got, strict=True) if g[1] is None] if len(met) < len(ws) else [])
-                ids.append(stream([x for x, _ in got]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(logs, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(ids, pa.binary())], ["doc_id", "held_out", "n_tokens", "hit", "logs", "rare", "ids"])
-
-    made = d.select("doc_id", "held_out", "text").mapInArrow(read, "doc_id bigint, held_out boolean, n_tokens bigint, hit bigint, logs double, rare array<binary>, ids binary")
+            for lot in lots(b, 2):
+                n, hit, logs, rare, ids = read_words(lot.column(2), of, known)
+                yield pa.RecordBatch.from_arrays([lot.column(0), lot.column(1), pa.array(n + 1, pa.int64()), pa.array(hit + (ends > 0), pa.int64()), pa.array(logs + of_end), rare, ids], ["doc_id", "held_out", "n_tokens", "hit", "logs", "rare", "ids"])
+
+    made = d.select("doc_id", "held_out", "text").mapInArrow(read, "doc_id bigint, held_out boolean, n_tokens bigint, hit bigint, logs double, rare array<struct<word:binary,k:bigint>>, ids binary")
     made = written(spark, made.withColumn("row", F.monotonically_increasing_id()), "streams")
     sent.destroy()
     model = spark.sparkContext.broadcast(fit(spark, made.where(~F.col("held_out")).select("row", "ids"), counts, n_docs, where))
@@ -273,7 +346,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, where: tuple[str, str,
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(np.concatenate([np.zeros(0), *out]) / np.log(10))], ["row", "doc_id", "held_out", "n_tokens", "base", "score"])
 
     # the other words of each document, as often as they occur there, meet their counts
-    left = made.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
+    left = made.select("row", F.inline("rare"))
     met = left.join(counts.where(~is_hot), "word", "left")
     met = met.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("more"), F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more_logs"))
     norm = float(np.log10(total + 0.1 * (distinct + 1)))

@@ -55,6 +55,9 @@ class Ids(Bounded):
         self.json_path = json_path
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        #: For each id, whether its bytes begin with a space.
+        self.spaced = np.zeros(1 + max(ranks.values()), bool)
+        self.spaced[[n for b, n in ranks.items() if b[:1] == b" "]] = True
         core = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
         if buffer := getattr(core, "encode_to_tiktoken_buffer", None):
             self.quick = lambda t, special: bytes(buffer(t, special))

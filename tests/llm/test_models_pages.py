@@ -174,6 +174,31 @@ def test_scores_are_those_of_the_definition(spark, odd_docs, no_docs):
     assert scoring.score_documents(spark, no_docs).count() == 0
 
 
+def test_words_of_many_texts_are_read_as_each_alone_with_few_calls(monkeypatch):
+    import pyarrow as pa
+    from collections import Counter
+    from sieveline.llm.tokens import ids_of, paths
+
+    r = np.random.default_rng(2)
+    texts = [None, "", " \n\t ", "one", "  A b\tA\x0bc\x0cd\re ", "x\xa0y \xa0z w\x85 \u2003 q\u2028 \x1cs t\x1f", "日本 語 É é İ don't 's 12,5 <|endoftext|> \xad", "long" * 400 + " end"]
+    texts += [" ".join("".join(r.choice(list("abcdeö'1,"), 6)) for _ in range(40)) for _ in range(50)]
+    plain = scoring.Words(paths())
+    words = sorted({w for t in texts for w in scoring.lower_words(t)})
+    known = {w: 1.0 + i for i, w in enumerate(words[::3])}
+    of, calls = scoring.Words(paths()), []
+    monkeypatch.setattr(of, "quick", lambda t, special: calls.append(t) or ids_of(paths()).quick(t, special))
+    n, hit, sums, rare, ids = scoring.read_words(pa.array(texts), of, (pa.array(list(known), pa.binary()), np.array(list(known.values()))))
+    for i, t in enumerate(texts):
+        ws = scoring.lower_words(t)
+        assert (n[i], hit[i], sums[i]) == (len(ws), sum(w in known for w in ws), sum(known.get(w, 0) for w in ws))
+        assert {x["word"]: x["k"] for x in rare[i].as_py()} == Counter(w for w in ws if w not in known)
+        assert ids[i].as_py() == scoring.stream([plain[w][0] for w in ws]), t
+    # one call for all words but the few with other white space inside
+    assert len(calls) <= 1 + sum(any(c in w.decode() for c in "\xa0\x85\u2003\u2028\x1c\x1f") for w in words)
+    none = scoring.read_words(pa.array([None, ""]), of, (pa.array([], pa.binary()), np.zeros(0)))
+    assert none[0].tolist() == [0, 0] and none[4].to_pylist() == [scoring.stream([])] * 2
+
+
 def test_every_training_document_reaches_the_model(spark, odd_docs):
     from sieveline.llm.tokens import paths
 
