@@ -31,7 +31,7 @@ def new_parameters(inputs: int, class_share: np.ndarray, seed: int = 5) -> dict[
 
 def attend(q: np.ndarray, kv: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """q (B, n, DIM) and keys and values with a last column of ones (B, T, 2 DIM + 1) -> what the unnormalized weights bring (B, n, DIM) and their sums, and they (B, n, T)."""
-    s = np.matmul(q, kv[..., :DIM].transpose(0, 2, 1))
+    s = np.matmul(q, np.ascontiguousarray(kv[..., :DIM].transpose(0, 2, 1)))
     s += bias
     exponents(s)
     return np.matmul(s, kv[..., DIM:]), s
@@ -119,7 +119,7 @@ def loss_and_gradients(p: dict, x: np.ndarray, y: np.ndarray, mask: np.ndarray)
     do /= total
     do[:, DIM] = -np.einsum("ij,ij->i", do, o)
     do = do.reshape(*x.shape, -1)
-    ds = np.matmul(do, v.transpose(0, 2, 1))
+    ds = np.matmul(do, np.ascontiguousarray(v.transpose(0, 2, 1)))
     ds *= s
     grad["R"] = np.bincount(LAG.ravel(), ds.sum(0).ravel(), T).astype(np.float32)
     back = np.empty((*x.shape, 3 * DIM), e.dtype)

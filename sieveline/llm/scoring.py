@@ -111,8 +111,14 @@ def as_binary(values: np.ndarray, begins: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(begins) - 1, [None, pa.py_buffer((begins * values.itemsize).astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
 
 
-def read_words(texts: pa.Array, of: Words, known: tuple[pa.Array, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
-    """Of each text: its number of words, of those known (words, values) and the sum of their values, the other words with their numbers, and its stream."""
+def flat_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of them in four bytes each, and how many each row has."""
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), "<u4"), np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw))
+
+
+def read_words(texts: pa.Array, of: Words, known: tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """Of each text: its number of words, of those known (words, values, all ids, how many each has) and the sum of their values, the other words with their numbers, and its stream."""
     words, which, begins = told_apart(texts)
     n, k, end = np.diff(begins), len(texts), len(words)
     doc = np.repeat(np.arange(k), n)
@@ -124,10 +130,15 @@ def read_words(texts: pa.Array, of: Words, known: tuple[pa.Array, np.ndarray]) -
     rare = pa.StructArray.from_arrays([words.take(pa.array(pairs % max(1, end))), pa.array(times, pa.int64())], ["word", "k"])
     rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs, np.arange(k + 1) * max(1, end)), pa.int32()), rare)
     # each text's ids: those of its words between two ends
-    ids, first, size = of.ids(words)
+    new = np.flatnonzero(~found)
+    held, sizes = known[2], np.append(known[3], 0)
+    ids, first, size = of.ids(words.take(pa.array(new)))
+    begin, long = (np.cumsum(sizes) - sizes)[place], sizes[place]
+    begin[new], long[new] = first + len(held), size
     order = np.full(len(which) + 2 * k, end, np.int32)
     order[np.arange(len(which)) + 2 * doc + 1] = which
-    streams, upto = gathered(np.append(ids, END).astype("<u2"), np.append(first, len(ids))[order], np.append(size, 1)[order])
+    values = np.concatenate([held, ids, np.array([END], "<u4")]).astype("<u2")
+    streams, upto = gathered(values, np.append(begin, len(values) - 1)[order], np.append(long, 1)[order])
     return n, np.bincount(doc, hit, k).astype(np.int64), np.bincount(doc, logs[which], k), rare, as_binary(streams, upto[begins + 2 * np.arange(k + 1)])
 
 
@@ -173,6 +184,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def spelt_words(counts: DataFrame, where: tuple[str, str, str]) -> DataFrame:
+    """word, n, ids of (word, n) rows."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Words(where)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, as_binary(*gathered(*of.ids(b.column(0))))], ["word", "n", "ids"])
+
+    return counts.select("word", "n").mapInArrow(spell, "word binary, n bigint, ids binary")
+
+
 def _sum_by_key(rows: DataFrame, size: int) -> np.ndarray:
     """(key, n) rows with keys below size -> their sums."""
     got = rows.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
@@ -229,21 +251,15 @@ def fit(spark: SparkSession, docs: DataFrame, counts: DataFrame, n_docs: int, wh
     """The attention model from (word, n) counts and the training documents' streams (row, ids); seen is the number of predictions it learnt from."""
     sc = spark.sparkContext
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Words(where)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([as_binary(*gathered(*of.ids(b.column(0)))), b.column(1)], ["ids", "n"])
-
-    spelt = written(spark, counts.mapInArrow(spell, "ids binary, n bigint"), "spelt")
+    spelt = written(spark, spelt_words(counts, where).select("ids", "n"), "spelt")
 
     def add(total: np.ndarray) -> pa.RecordBatch:
         at = np.flatnonzero(total)
         return pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["key", "n"])
 
     def flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        raw = b.column(0).to_pylist()
-        lengths = np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw))
-        return np.frombuffer(b"".join(raw), "<u4").astype(np.int64), np.repeat(np.arange(len(raw)), lengths), b.column(1).to_numpy()
+        ids, lengths = flat_ids(b.column(0))
+        return ids.astype(np.int64), np.repeat(np.arange(len(lengths)), lengths), b.column(1).to_numpy()
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIZE, np.int64)
@@ -319,8 +335,8 @@ def score_documents(spark: SparkSession, docs: DataFrame, where: tuple[str, str,
             break
         least = r["n"]
     is_hot = short & (F.col("n") >= F.lit(least)) if least is not None else F.lit(False)
-    top = counts.where(is_hot).toArrow()
-    known = (pa.array(top["word"].to_pylist(), pa.binary()), np.log10(top["n"].to_numpy() + 0.1))
+    top = spelt_words(counts.where(is_hot), where).toArrow()
+    known = (pa.array(top["word"].to_pylist(), pa.binary()), np.log10(top["n"].to_numpy() + 0.1), *flat_ids(top["ids"]))
     sent = spark.sparkContext.broadcast((known, n_docs))
     del known, top
 

@@ -187,7 +187,7 @@ def test_words_of_many_texts_are_read_as_each_alone_with_few_calls(monkeypatch):
     known = {w: 1.0 + i for i, w in enumerate(words[::3])}
     of, calls = scoring.Words(paths()), []
     monkeypatch.setattr(of, "quick", lambda t, special: calls.append(t) or ids_of(paths()).quick(t, special))
-    n, hit, sums, rare, ids = scoring.read_words(pa.array(texts), of, (pa.array(list(known), pa.binary()), np.array(list(known.values()))))
+    n, hit, sums, rare, ids = scoring.read_words(pa.array(texts), of, (pa.array(list(known), pa.binary()), np.array(list(known.values())), *scoring.flat_ids(pa.array([plain[w][0] for w in known]))))
     for i, t in enumerate(texts):
         ws = scoring.lower_words(t)
         assert (n[i], hit[i], sums[i]) == (len(ws), sum(w in known for w in ws), sum(known.get(w, 0) for w in ws))
@@ -195,7 +195,7 @@ def test_words_of_many_texts_are_read_as_each_alone_with_few_calls(monkeypatch):
         assert ids[i].as_py() == scoring.stream([plain[w][0] for w in ws]), t
     # one call for all words but the few with other white space inside
     assert len(calls) <= 1 + sum(any(c in w.decode() for c in "\xa0\x85\u2003\u2028\x1c\x1f") for w in words)
-    none = scoring.read_words(pa.array([None, ""]), of, (pa.array([], pa.binary()), np.zeros(0)))
+    none = scoring.read_words(pa.array([None, ""]), of, (pa.array([], pa.binary()), np.zeros(0), *scoring.flat_ids(pa.array([], pa.binary()))))
     assert none[0].tolist() == [0, 0] and none[4].to_pylist() == [scoring.stream([])] * 2
 
 
