@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -117,40 +119,50 @@ def redact_jsonl(df: DataFrame, rules: list[Rule], keys: bool = True, text: str
     schema = ", ".join(f"`{c}` {k}" for c, k in zip(names, [*kinds, "string", SUMMARY, "array<int>"], strict=True))
     shape = to_arrow_schema(StructType.fromDDL(schema))
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of rows with one row number, which may go on in the next batch, as one row each."""
-        now, held, parts, sums = None, None, [], None
-
-        def whole() -> pa.RecordBatch:
-            counts, numbers, aborted, unsafe = sums
-            text = None if parts == [None] else "\n".join(parts)
-            summary = {"counts": sorted(counts.items()), "pairs": numbers[0], "orphan_begin": numbers[1], "orphan_end": numbers[2], "aborted_lines": aborted}
-            made = [pa.array([x], f.type) for x, f in zip((text, summary, unsafe), list(shape)[len(by) :], strict=True)]
-            return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(held, shape, strict=False)] + made, schema=shape)
+    def whole(runs: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """Every run of rows with one row number as one row."""
+        b = pa.Table.from_batches(runs).combine_chunks().to_batches()[0]
+        ids, texts, line_nos, refused = (b.column(i) for i in (0, first, first + 1, first + 2))
+        busy = pc.fill_null(b.column(last + 1), False)
+        begins = np.concatenate([[0], np.flatnonzero(np.diff(ids.to_numpy())) + 1])
+        n, bounds = len(begins), np.append(begins, len(ids)).astype(np.int32)
+        upto = lambda sizes: np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        # of lines with findings: the text each belongs to, and what the texts' findings come to
+        of, owner = b.column(last).filter(busy), np.repeat(np.arange(n), np.diff(bounds))[busy.to_numpy(zero_copy_only=False)]
+        counts, aborted = of.field("counts"), of.field("aborted_lines")
+        found = pa.table({"at": np.repeat(owner, np.diff(counts.offsets)), "rule": counts.keys.slice(counts.offsets[0].as_py(), len(counts.keys)), "k": counts.items.slice(counts.offsets[0].as_py(), len(counts.items))})
+        found = found.group_by(["at", "rule"], use_threads=False).aggregate([("k", "sum")]).sort_by([("at", "ascending"), ("rule", "ascending")]).combine_chunks()
+        kinds = {f.name: f.type for f in shape.field(1 + len(by)).type}
+        counted = pa.MapArray.from_arrays(pa.array(upto(np.bincount(found["at"].to_numpy(), minlength=n))), found["rule"].combine_chunks(), found["k_sum"].combine_chunks(), type=kinds["counts"])
+        sums = []
+        for x in ("pairs", "orphan_begin", "orphan_end"):
+            total = np.zeros(n, np.int64)
+            np.add.at(total, owner, of.field(x).to_numpy())
+            sums.append(pa.array(total))
+        stopped = pa.ListArray.from_arrays(pa.array(upto(np.bincount(owner, np.diff(aborted.offsets), n))), aborted.flatten())
+        unsafe = pa.ListArray.from_arrays(pa.array(upto(refused.to_numpy(zero_copy_only=False))[bounds]), line_nos.filter(refused))
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), texts), "\n")  # the one line of a null text is null, and so is what it gives
+        summary = pa.StructArray.from_arrays([counted, *sums, stopped.cast(kinds["aborted_lines"])], fields=list(shape.field(1 + len(by)).type))
+        held = [b.column(1 + j).take(pa.array(begins)) for j in range(len(by))]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*held, text], shape, strict=False)] + [summary, unsafe.cast(shape.field(2 + len(by)).type)], schema=shape)
 
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of rows with one row number, the last of which may go on in the next batch, as one row each; one batch out for one in."""
+        going: list[pa.RecordBatch] = []
         for b in batches:
-            rows, texts, line_nos, refused = (b.column(i).to_pylist() for i in (0, first, first + 1, first + 2))
-            of = b.column(last)
-            busy = b.column(last + 1).to_pylist()
-            done = []
-            for i, row in enumerate(rows):
-                if row != now:
-                    if now is not None:
-                        done.append(whole())
-                    now, held, parts, sums = row, [b.column(1 + j).slice(i, 1) for j in range(len(by))], [], ({}, [0, 0, 0], [], [])
-                parts.append(texts[i])
-                if refused[i]:
-                    sums[3].append(line_nos[i])
-                if busy[i]:
-                    s = of[i].as_py()
-                    for k, n in s["counts"]:
-                        sums[0][k] = sums[0].get(k, 0) + n
-                    for j, x in enumerate(("pairs", "orphan_begin", "orphan_end")):
-                        sums[1][j] += s[x]
-                    sums[2].extend(s["aborted_lines"])
-            yield from done
-        if now is not None:
-            yield whole()
+            if not b.num_rows:
+                continue
+            ids = b.column(0).to_numpy()
+            changes = np.flatnonzero(np.diff(ids)) + 1
+            cut = int(changes[-1]) if len(changes) else 0
+            if going and (cut or going[-1].column(0)[-1].as_py() != ids[0]):
+                yield whole([*going, b.slice(0, cut)] if cut else going)
+                going = []
+            elif cut:
+                yield whole([b.slice(0, cut)])
+            going.append(b.slice(cut))
+        if going:
+            yield whole(going)
 
     return each.mapInArrow(join, schema)
 
