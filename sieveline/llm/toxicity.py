@@ -41,6 +41,7 @@ SWAP, DROP, KEEP = 0.5, 0.3, 4.0
 #: Marks around a plain word; a letter twice in a row; a run of what is no letter, and what in it may stand for a letter before and behind one.
 AROUND = ".,;:?!\"'()[]{}<>%&#*-_"
 TWICE = re.compile(r"([^\W\d_])\1")
+REPEATED = re.compile(r"(.)\1+", re.S)
 OTHER = re.compile(r"[\W\d_]+")
 BEFORE, BEHIND = re.compile(r"[0-9@$!|+(€£¡]"), re.compile(r"[0-9@$|+(€£¡]")
 
@@ -182,15 +183,25 @@ class Reader(Bounded):
         self.cost, self.only = cost.tolist(), only
         # a word whose first letters begin no feature has none
         self.starts = None if only is None else {f.removesuffix("$")[:4] for f in only}
+        # of letters alone a reading drops repeats and no more, so both are alike without repeats: all of a short word, of others how they begin
+        self.short, self.single = ({REPEATED.sub(r"\1", s) for s in self.starts or () if (len(s) < 4) is short} for short in (True, False))
+
+    def without_features(self, letters: str) -> bool:
+        """Whether no reading of a lower-case word of letters alone can begin a feature."""
+        s = REPEATED.sub(r"\1", letters)
+        return not (s in self.short or s[:4] in self.single or s[:3] in self.single or s[:2] in self.single or s[:1] in self.single)
 
     def restore(self, word: str) -> str:
         w = core(word.lower())
         return viterbi(w, self.cost) if disguised(w) else w
 
     def __missing__(self, word: str) -> tuple:
-        plain = word.strip(AROUND)
-        if (w := plain.lower()).isalpha() and not TWICE.search(w):
+        if (w := word.strip(AROUND).lower()).isalpha() and not TWICE.search(w):
+            if self.starts is not None and w[:4] not in self.starts:
+                return self.keep(word, (), 0)
             parts = (w,)  # nothing to restore
+        elif self.starts is not None and (c := core(word.lower())).isalpha() and self.without_features(c):
+            return self.keep(word, (), 0)
         else:
             parts = [w.strip(AROUND) for w in self.restore(word).split()]
         out: set = set()
@@ -207,8 +218,8 @@ class Reader(Bounded):
         for f in map(self.__getitem__, set(ws)):
             if f:
                 found.update(f)
-        shape = "".join(["s" if len(w) == 1 else "l" for w in ws])
-        for m in re.finditer("s+", shape):
+        shape = bytes(map((1).__eq__, map(len, ws)))
+        for m in re.finditer(b"\1+", shape):
             at, end = m.span()
             before, after = max(0, at - 1), min(len(ws), end + 1)
             parts = {(before, end), (at, after), (before, after)} if any(map(str.isalpha, ws[at:end])) else set()
