@@ -10,8 +10,10 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,25 @@ def one_core_each() -> None:
                 getattr(lib, name)(1)
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system; allocators keep it otherwise, and an executor's idle workers count like busy ones."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The step for mapInArrow, after which its worker holds none of the step's memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def trimmed(text: Column) -> Column:
     """Text (null: empty) without white space at its ends."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), rf"^[{SPACE}]+|[{SPACE}]+\z", "")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import written
+from sieveline.llm.common import lean, written
 from sieveline.llm.tokens import ids_of, paths
 
 CAPACITY, END = 2048, 0
@@ -54,9 +54,10 @@ def pieces(docs: DataFrame, where: tuple[str, str, str] | None = None, capacity:
             c = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=False)], names)
+        ids.forget()  # the worker lives on, through stages that need no chunks
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(cut), schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,7 +129,7 @@ def pack(spark: SparkSession, made: DataFrame, capacity: int = CAPACITY, leaf: i
     leaves = max(1, -(-part.count() // leaf))
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, offset bigint, load bigint, up boolean"
     # dealt out in turn, so that no key can be hot
-    placed = written(spark, part.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(leaves).mapInArrow(_leaf(capacity, _levels(leaves, 1)), schema), "leaves")
+    placed = written(spark, part.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(leaves).mapInArrow(lean(_leaf(capacity, _levels(leaves, 1))), schema), "leaves")
     bins = placed.where("up and offset = 0").select("bin", "load", F.shiftright("bin", 32).alias("group"))
     groups, moves = leaves, None
     while groups > 1:

@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sieveline.llm.common import lean
+
 #: Kinds in the order in which equal starts are listed; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "private_key", "slack", "google", "gitlab", "stripe")
 BASE_KINDS = KINDS[:3]
@@ -210,4 +212,4 @@ def redact_documents(docs: DataFrame) -> DataFrame:
                 cols[n_at] = pa.array([len(x) if x != t else n for t, x, n in zip(texts, new, cols[n_at].to_pylist(), strict=True)], cols[n_at].type)
             yield pa.RecordBatch.from_arrays(cols, b.schema.names)
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(lean(clean), docs.schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import written
+from sieveline.llm.common import lean, written
 from sieveline.llm.components import connected_components
 
 BITS, LIMIT = 64, 8192
@@ -134,13 +134,13 @@ def links(spark: SparkSession, fps: DataFrame, radius: int = 4, limit: int = LIM
             yield table([(-1, a, b) for a, b in spanning(np.unique(f), radius)])
 
     spread = fps.select(F.explode(F.array([F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for i, m in enumerate(first)])).alias("x"), "fp").select("x.t", "x.k", "fp")
-    found = written(spark, spread.repartition("t", "k").sortWithinPartitions("t", "k").select("t", "fp").mapInArrow(level_one, schema), "links")
+    found = written(spark, spread.repartition("t", "k").sortWithinPartitions("t", "k").select("t", "fp").mapInArrow(lean(level_one), schema), "links")
     edges = found.where("t < 0").select("a", "b")
     large = found.where("t >= 0").select("t", F.col("a").alias("fp"))
     if not large.isEmpty():
         keys = F.array([F.array([F.lit(signed(m | s)) for s in row]) for m, row in zip(first, second, strict=True)])
         deal = large.select("t", F.posexplode(keys[F.col("t")]).alias("s", "m"), "fp").select("t", "s", F.col("fp").bitwiseAND(F.col("m")).alias("k"), "fp")
-        more = deal.repartition("t", "s", "k").sortWithinPartitions("t", "s", "k").select("t", "s", "fp").mapInArrow(level_two, schema)
+        more = deal.repartition("t", "s", "k").sortWithinPartitions("t", "s", "k").select("t", "s", "fp").mapInArrow(lean(level_two), schema)
         edges = edges.unionByName(more.select("a", "b"))
     return edges
 
@@ -159,7 +159,7 @@ def _prints(spark: SparkSession, docs: DataFrame, shingle: int, id_col: str, tex
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f)], ["doc_id", "th", "fp"])
 
     text = docs[text_col].cast("string")
-    return written(spark, docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(prints, "doc_id bigint, th bigint, fp bigint"), "fingerprints")
+    return written(spark, docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(lean(prints), "doc_id bigint, th bigint, fp bigint"), "fingerprints")
 
 
 def _labels(spark: SparkSession, nodes: DataFrame, radius: int) -> DataFrame:

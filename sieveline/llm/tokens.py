@@ -31,14 +31,17 @@ class Bounded(dict):
         super().__init__()
         self.most, self.held = most, 0
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
     def keep(self, key, value, size: int):
         """Remember value, which takes about `size` bytes beside the key, and return it."""
         size += len(key) + self.ENTRY
         if size > self.most >> 4:
             return value
         if self.held + size > self.most:
-            self.clear()
-            self.held = 0
+            self.forget()
         self.held += size
         self[key] = value
         return value
@@ -48,7 +51,7 @@ class Ids(Bounded):
     """chunk -> its ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
-        super().__init__(96 << 20)
+        super().__init__(32 << 20)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import dropped, written
+from sieveline.llm.common import dropped, lean, written
 from sieveline.llm.tokens import Bounded
 
 TRAIN_ROWS, FEATURES, SUPPORT = 20_000, 1500, 0.01
@@ -38,6 +39,8 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 SEPARATORS = " .-_*~'·•/\\,"
 #: Costs in nats of reading a look-alike as a letter, of dropping a repeated letter or a separator, of keeping a character as no letter.
 SWAP, DROP, KEEP = 0.5, 0.3, 4.0
+#: Codes counted at once, and features counted before they are handed on: what bounds a task's memory; sums are the same.
+PART, MANY = 1 << 18, 50_000
 #: Marks around a plain word; a letter twice in a row; a run of what is no letter, and what in it may stand for a letter before and behind one.
 AROUND = ".,;:?!\"'()[]{}<>%&#*-_"
 TWICE = re.compile(r"([^\W\d_])\1")
@@ -89,16 +92,18 @@ _codes: list[np.ndarray] = []
 def codes() -> np.ndarray:
     """code() of every character, as a table; made once in each worker."""
     if not _codes:
-        _codes.append(np.fromiter(map(code, map(chr, range(0x110000))), np.int32, 0x110000))
+        _codes.append(np.fromiter(map(code, map(chr, range(0x110000))), np.uint8, 0x110000))
     return _codes[0]
 
 
 def count_grams(texts: list[str]) -> np.ndarray:
     """Counts of all ORDER-grams of codes in these texts, lower-cased."""
     c = codes()[np.frombuffer("\0".join(["", *texts, ""]).lower().encode("utf-32-le", "surrogatepass"), "<u4")]
-    if len(c) < ORDER:
-        return np.zeros(SIZE**ORDER, np.int64)
-    return np.bincount(((c[:-3] * SIZE + c[1:-2]) * SIZE + c[2:-1]) * SIZE + c[3:], minlength=SIZE**ORDER)
+    total = np.zeros(SIZE**ORDER, np.int64)
+    for at in range(0, len(c) - ORDER + 1, PART):
+        p = c[at : at + PART + ORDER - 1].astype(np.int64)
+        total += np.bincount(((p[:-3] * SIZE + p[1:-2]) * SIZE + p[2:-1]) * SIZE + p[3:], minlength=SIZE**ORDER)
+    return total
 
 
 def gram_counts(docs: DataFrame) -> np.ndarray:
@@ -118,7 +123,7 @@ def gram_counts(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
 
-    got = docs.select(F.col("text").cast("string")).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select(F.col("text").cast("string")).mapInArrow(lean(count), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(SIZE**ORDER, np.int64)
     total[got["gram"].to_numpy()] = got["n"].to_numpy()
     return total
@@ -148,7 +153,7 @@ def readings(c: str, again: bool, inside: bool) -> tuple[tuple[str, int, float],
     return tuple((x, code(x) if x else -1, price) for x, price in out)
 
 
-def viterbi(segment: str, cost: list[float]) -> str:
+def viterbi(segment: str, cost: array) -> str:
     """The likeliest reading of a lower-case segment. States are the last three codes read, and all that arise are followed; a path is a chain of
     (letter, path before), so time and memory grow with the segment's length."""
     states: dict[int, tuple] = {0: (0.0, None)}
@@ -180,7 +185,7 @@ class Reader(Bounded):
 
     def __init__(self, cost: np.ndarray, only: dict[str, int] | None = None):
         super().__init__()
-        self.cost, self.only = cost.tolist(), only
+        self.cost, self.only = array("f", cost.astype(np.float32).tobytes()), only
         # a word whose first letters begin no feature has none
         self.starts = None if only is None else {f.removesuffix("$")[:4] for f in only}
         # of letters alone a reading drops repeats and no more, so both are alike without repeats: all of a short word, of others how they begin
@@ -261,6 +266,12 @@ def fit_logistic(rows: list[tuple[np.ndarray, int]], n: int, l2: float = 0.05, r
     return w, b
 
 
+def counted(n: tuple[Counter, Counter]) -> pa.RecordBatch:
+    """(feature, pos, neg) of counts by label 0 and 1."""
+    both = list(n[0].keys() | n[1].keys())
+    return pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([n[1][f] for f in both], pa.int64()), pa.array([n[0][f] for f in both], pa.int64())], ["feature", "pos", "neg"])
+
+
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     """The model's parts: gram costs, features, weights, bias. Their sizes are fixed by this module's constants."""
     sc = spark.sparkContext
@@ -275,15 +286,17 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(sent.value)
+        n: tuple[Counter, Counter] = Counter(), Counter()
         for b in batches:
-            n: tuple[Counter, Counter] = Counter(), Counter()
             for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 n[y > 0].update(read.features(t.as_py()))
-            both = list({*n[0], *n[1]})
-            yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([n[1][f] for f in both], pa.int64()), pa.array([n[0][f] for f in both], pa.int64())], ["feature", "pos", "neg"])
+                if len(n[0]) + len(n[1]) > MANY:
+                    yield counted(n)
+                    n[0].clear(), n[1].clear()
+        yield counted(n)
 
     pos, neg = (float(x or 0) for x in sample.agg(F.sum(F.when(F.col("toxic") > 0, 1)), F.sum(F.when(F.col("toxic") <= 0, 1))).first())
-    counts = sample.mapInArrow(count, "feature string, pos bigint, neg bigint").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = sample.mapInArrow(lean(count), "feature string, pos bigint, neg bigint").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # kept: features seen in enough documents of label 1 and far more often there, the strongest first
     rate1, rate0 = (F.col("pos") + 0.1) / (pos + 1), (F.col("neg") + 0.1) / (neg + 1)
     kept = counts.where((F.col("pos") >= max(4.0, SUPPORT * pos)) & (rate1 > 4 * rate0)).orderBy(F.desc(F.col("pos") * F.log(rate1 / rate0)), "feature").limit(FEATURES).collect()
@@ -296,7 +309,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([sorted(read.features(t.as_py())) for t in b.column(0)], pa.list_(pa.int32()))], ["toxic", "at"])
 
     # whole groups of equal rows travel as one with their number
-    got = sample.mapInArrow(hold, "toxic int, at array<int>").groupBy("toxic", "at").count().orderBy("toxic", "at").collect()
+    got = sample.mapInArrow(lean(hold), "toxic int, at array<int>").groupBy("toxic", "at").count().orderBy("toxic", "at").collect()
     dropped(spark, sample)
     data = [(np.array(r["at"], int), int(r["toxic"] > 0)) for r in got for _ in range(r["count"])]
     # a feature that all but never stands outside label 1 also is an example by itself, so that one such word is enough
@@ -313,18 +326,21 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, kee
     """doc_id, held_out, score, predicted for every row of documents, and the columns named in keep as kept_0, kept_1..."""
     sent = spark.sparkContext.broadcast(train(spark, docs, labels))
     extra = [f"kept_{i}" for i in range(len(keep))]
-    wide = docs.select(F.col("doc_id").cast("bigint").alias("__id"), (remainder(F.col("doc_id"), 5) == 0).alias("__held"), F.col("text").cast("string").alias("__text"), *(F.col(c).alias(e) for c, e in zip(keep, extra, strict=True)))
+    # a text that is kept is sent once
+    at = 2 + keep.index("text") if "text" in keep and docs.schema["text"].dataType.simpleString() == "string" else None
+    text = [] if at is not None else [F.col("text").cast("string").alias("__text")]
+    wide = docs.select(F.col("doc_id").cast("bigint").alias("__id"), (remainder(F.col("doc_id"), 5) == 0).alias("__held"), *(F.col(c).alias(e) for c, e in zip(keep, extra, strict=True)), *text)
     schema = ", ".join(["doc_id bigint", "held_out boolean", "score double", "predicted int", *(f"{e} {docs.schema[c].dataType.simpleString()}" for c, e in zip(keep, extra, strict=True))])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         read, w = Reader(m["cost"], m["names"]), m["weights"]
         for b in batches:
-            z = np.array([m["bias"] + w[list(read.features(t.as_py()))].sum() if len(w) else m["bias"] for t in b.column(2)], float)
+            z = np.array([m["bias"] + w[list(read.features(t.as_py()))].sum() if len(w) else m["bias"] for t in b.column(2 + len(extra) if at is None else at)], float)
             p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *b.columns[3:]], ["doc_id", "held_out", "score", "predicted", *extra])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *b.columns[2 : 2 + len(extra)]], ["doc_id", "held_out", "score", "predicted", *extra])
 
-    return wide.mapInArrow(score, schema)
+    return wide.mapInArrow(lean(score), schema)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
